@@ -3,9 +3,9 @@
 1. Java's matcher splits each text into words by the tokenizer's pattern (white space by its Unicode definition).
 2. An Arrow step names the words of a run of documents by codes and passes each word on once, with the codes of each
    document; no shuffle, and no word is carried twice within a run.
-3. aggregate() folds merges over each distinct word: its bytes become ids, and the adjacent pair of lowest rank, the
+3. aggregate() folds merges over each distinct word, an array of its bytes' ids: the adjacent pair of lowest rank, the
    leftmost of equals, is merged until none is left. Ranks come from a literal map in the plan: (left id, right id)
-   to merged id, kept as a two-level perfect hash in three literal arrays, as Spark's own maps are searched linearly.
+   to merged id, kept as a two-level perfect hash in one literal array, as Spark's own maps are searched linearly.
 4. A second Arrow step puts the documents together: ids by code, digests, and for decoding the pieces concatenated.
 
 Words and codes of a run stay in one row of bounded size; a run ends after RUN_WORDS words. One document's words always
@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RUN_WORDS = 1_500_000
-NONE = 1 << 30  # no such pair
+RUN_WORDS = 4_000_000
+WIDTH, PLACES = 17, 28  # bits of an id and of a byte's place in its word
+NO_PAIR = 1 << WIDTH + WIDTH + PLACES  # entries from here on have no pair to merge
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,37 +41,31 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     return {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
 
 
-WIDTH = 17  # bits of an id
-PRIME = (1 << 34) + 25  # above any pair's key
+def perfect_hash(pairs: dict[tuple[int, int], int]) -> tuple[int, list[int]]:
+    """The number of buckets, and one table: a shift for each bucket, then each slot's key * 2^WIDTH + merged id.
 
-
-def perfect_hash(pairs: dict[tuple[int, int], int]) -> tuple[tuple[int, int], list[int], list[int], list[int]]:
-    """Two factors, a shift for each bucket, and each slot's key and merged id.
-
-    A key's bucket is key * first mod PRIME mod buckets, its slot (key * second mod PRIME + the bucket's shift) mod slots.
+    A key's bucket is key mod buckets, its slot (key mod slots + the bucket's shift) mod slots.
     """
     keys = np.array([a << WIDTH | b for a, b in pairs], dtype=np.int64)
     values = np.array(list(pairs.values()), dtype=np.int64)
-    buckets, slots = max(1, len(keys) // 3), int(len(keys) * 1.25) + 7
-    for first, second in zip(range(486_187_739, 1 << 29, 2_097_593), range(402_653_189, 1 << 29, 1_572_869), strict=False):
-        h1, h2 = keys * first % PRIME % buckets, keys * second % PRIME % slots
-        both = h1 * slots + h2
-        if len(np.unique(both)) == len(both):
+    buckets, slots = max(1, len(keys) // 3) | 1, int(len(keys) * 1.25) | 1
+    while True:
+        h1, h2 = keys % buckets, keys % slots
+        if len(np.unique(h1 * slots + h2)) == len(keys):
             break
-    else:
-        raise ValueError("no factors keep all pairs of a bucket apart")
-    shift, slot_key, slot_value = [0] * buckets, [-1] * slots, [NONE] * slots
+        buckets += 2
+    shift, slot = [0] * buckets, [-1] * slots
     order = np.argsort(h1, kind="stable")
     groups = np.split(order, np.flatnonzero(np.diff(h1[order])) + 1) if len(keys) else []
     for group in sorted(groups, key=len, reverse=True):
         base = h2[group].tolist()
         d = 0
-        while any(slot_key[(x + d) % slots] != -1 for x in base):
+        while any(slot[(x + d) % slots] != -1 for x in base):
             d += 1
         shift[int(h1[group[0]])] = d
         for k, x in zip(group, base, strict=True):
-            slot_key[(x + d) % slots], slot_value[(x + d) % slots] = int(keys[k]), int(values[k])
-    return (first, second), shift, slot_key, slot_value
+            slot[(x + d) % slots] = int(keys[k]) << WIDTH | int(values[k])
+    return buckets, shift + slot
 
 
 class Tokenizer:
@@ -83,56 +78,67 @@ class Tokenizer:
         for piece, rank in self.ranks.items():
             self.pieces[rank] = piece
         self.of_byte = [self.ranks[bytes([b])] for b in range(256)]
-        self.factors, self.shift, self.keys, self.values = perfect_hash(pair_ranks(self.ranks))
+        self.byte_pairs = {(t[0], t[1]): r for t, r in self.ranks.items() if len(t) == 2}
+        self.buckets, self.table = perfect_hash(pair_ranks(self.ranks))
 
-    @staticmethod
-    def literal(numbers: list[int]) -> Column:
-        """One literal array: a constant that the optimizer folds, not a node for each number."""
-        return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
+    def literal(self) -> Column:
+        """The rank map as one literal array: a constant that the optimizer folds, not a node for each number."""
+        return F.split(F.lit(",".join(map(str, self.table))), ",").cast("array<bigint>")
 
-    def merged(self, left: Column, right: Column) -> Column:
-        """The id of the two ids' concatenation, or NONE."""
+    def merged(self, table: Column, left: Column, right: Column) -> Column:
+        """The id of the two ids' concatenation, which is also the pair's rank, or 2^WIDTH. No part is named twice that is costly, as lambdas run as written."""
         key = left * (1 << WIDTH) + right
-        bucket = key * self.factors[0] % PRIME % len(self.shift)
-        slot = (key * self.factors[1] % PRIME % len(self.keys) + F.get(self.literal(self.shift), bucket.cast("int"))) % len(self.keys)
-        at = slot.cast("int")
-        return F.when(F.get(self.literal(self.keys), at) == key, F.get(self.literal(self.values), at)).otherwise(F.lit(NONE).cast("bigint"))
+        slots = len(self.table) - self.buckets
+        shift = F.get(table, (key % self.buckets).cast("int"))
+        entry = F.get(table, (self.buckets + (key % slots + shift) % slots).cast("int"))
+        # entry less key * 2^WIDTH is the merged id if the slot holds this key, else negative or out of an id's range
+        return F.least((entry - key * (1 << WIDTH)).bitwiseAND((1 << 63) - 1), F.lit(1 << WIDTH).cast("bigint"))
 
-    def fold(self, codes: Column) -> Column:
-        """The ids of a word given as the ids of its bytes (array<bigint>)."""
-        two = F.sequence(F.lit(1), F.size(codes) - 1)
-        ranks = F.transform(two, lambda i: self.merged(F.get(codes, i - 1), F.get(codes, i)))
-        start = F.struct(codes.alias("ids"), ranks.alias("ranks"))
+    def fold_words(self, words: Column) -> Column:
+        """The ids of each word given as the ids of its bytes; the rank map is bound once for all of them."""
+        return F.get(F.transform(F.array(self.literal()), lambda table: F.transform(words, lambda w: self.fold(table, w))), F.lit(0))
 
-        def step(acc: Column, _: Column) -> Column:
-            low = F.array_min(acc["ranks"])
+    def fold(self, table: Column, entries: Column) -> Column:
+        """The ids of a word given as an entry for each byte: the rank of the pair it begins, its place, its id.
+
+        An entry is rank * 2^(PLACES + WIDTH) + place * 2^WIDTH + id, so that the smallest entry begins the pair to merge,
+        the leftmost of the lowest rank.
+        """
 
+        def id_of(x: Column) -> Column:
+            return x.bitwiseAND((1 << WIDTH) - 1)
+
+        def step(acc: Column, _: Column) -> Column:
             def merge(x: Column) -> Column:
-                # j: the leftmost place of the lowest rank, from 1; the pair is ids j and j + 1
-                ids, rk, m = x["ids"], x["ranks"], x["low"]
-                j = x["j"]
-                one = F.array(m)
-                left = F.when(j > 1, F.array(self.merged(F.get(ids, j - 2), m))).otherwise(F.array().cast("array<bigint>"))
-                right = F.when(j < F.size(rk), F.array(self.merged(m, F.get(ids, j + 1)))).otherwise(F.array().cast("array<bigint>"))
-                return F.struct(
-                    F.concat(F.slice(ids, 1, j - 1), one, F.slice(ids, j + 2, F.size(ids))).alias("ids"),
-                    F.concat(F.slice(rk, 1, F.greatest(j - 2, F.lit(0))), left, right, F.slice(rk, j + 2, F.size(rk))).alias("ranks"),
-                )
+                j, merged = x["j"], F.shiftright(x["low"], WIDTH + PLACES)
+                following = F.get(acc, j + 1)
+                here = F.when(following.isNull(), F.lit(1 << WIDTH).cast("bigint")).otherwise(self.merged(table, merged, id_of(following)))
+                here = here * (1 << WIDTH + PLACES) + x["low"].bitwiseAND((1 << PLACES) - 1 << WIDTH) + merged
+
+                def renewed(e: Column, i: Column) -> Column:
+                    before = self.merged(table, id_of(e), merged) * (1 << WIDTH + PLACES) + e.bitwiseAND((1 << WIDTH + PLACES) - 1)
+                    return F.when(i < j - 2, e).when(i > j, e).when(i == j - 1, here).when(i == j, F.lit(None)).otherwise(before)
+
+                return F.filter(F.transform(acc, renewed), lambda e: e.isNotNull())
 
-            here = F.struct(acc["ids"].alias("ids"), acc["ranks"].alias("ranks"), low.alias("low"), F.array_position(acc["ranks"], low).cast("int").alias("j"))
-            return F.when(low < NONE, F.get(F.transform(F.array(here), merge), F.lit(0))).otherwise(acc)
+            low = F.array_min(acc)
+            found = F.struct(low.alias("low"), F.array_position(acc, low).cast("int").alias("j"))
+            return F.when(low < NO_PAIR, F.get(F.transform(F.array(found), merge), F.lit(0))).otherwise(acc)
 
-        return F.when(F.size(codes) < 2, codes).otherwise(F.aggregate(two, start, step, lambda acc: acc["ids"]))
+        return F.transform(F.when(F.size(entries) < 2, entries).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(entries)), entries, step)), id_of)
 
 
 BLOCK = "doc_ids array<bigint>, lengths array<int>, codes binary, words array<array<bigint>>"
 
 
-def name_words(of_byte: list[int], run_words: int):
-    """Batches of (id, words) to rows of BLOCK: ids and word counts of documents, their words as codes, each distinct word once."""
+def name_words(of_byte: list[int], byte_pairs: dict[tuple[int, int], int], run_words: int):
+    """Batches of (id, words) to rows of BLOCK: ids and word counts of documents, their words as codes, each distinct word once, as entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.array(of_byte, dtype=np.int64)
+        ids_of = np.array(of_byte, dtype=np.int64)
+        first = np.full(1 << 16, 1 << WIDTH, dtype=np.int64)  # ranks of pairs of bytes
+        for (a, b), rank in byte_pairs.items():
+            first[a << 8 | b] = rank
         schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("codes", pa.binary()), ("words", pa.list_(pa.list_(pa.int64())))])
 
         def block(ids: list[pa.Array], words: list[pa.ListArray]) -> pa.RecordBatch:
@@ -141,7 +147,13 @@ def name_words(of_byte: list[int], run_words: int):
             raw = named.dictionary.cast(pa.binary())
             ends = np.frombuffer(raw.buffers()[1], dtype=np.int32)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int32)
             data = np.frombuffer(raw.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]] if len(raw) else np.zeros(0, np.uint8)
-            spelled = pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pa.array(table[data]))
+            ends = (ends - ends[0]).astype(np.int64)
+            rank = np.full(len(data), 1 << WIDTH, dtype=np.int64)
+            rank[:-1] = first[data[:-1].astype(np.int64) << 8 | data[1:]]
+            rank[ends[1:] - 1] = 1 << WIDTH  # a word's last byte begins no pair; words are never empty
+            place = np.arange(len(data)) - np.repeat(ends[:-1], np.diff(ends))
+            entries = rank << WIDTH + PLACES | place << WIDTH | ids_of[data]
+            spelled = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(entries))
             codes = named.indices.to_numpy(zero_copy_only=False).astype(np.int32).tobytes()
             lengths = both.value_lengths().fill_null(0)
             return pa.record_batch([pa.array([pa.concat_arrays(ids).to_pylist()], schema[0].type), pa.array([lengths.to_pylist()], schema[1].type), pa.array([codes], schema[2].type), pa.ListArray.from_arrays(pa.array([0, len(spelled)], pa.int32()), spelled)], schema=schema)
@@ -212,8 +224,8 @@ def words_of(text: Column, pattern: str) -> Column:
 def encode(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, with_decoded: bool = False, run_words: int = RUN_WORDS) -> DataFrame:
     """Token counts and digests of ids and of the decoded bytes; with_ids and with_decoded add the ids and the decoded text."""
     split = docs.select(F.col(id_col).cast("bigint").alias("id"), words_of(F.col(text_col), tokenizer.pattern).alias("words"))
-    blocks = split.mapInArrow(name_words(tokenizer.of_byte, run_words), BLOCK)
-    folded = blocks.select("doc_ids", "lengths", "codes", F.transform("words", tokenizer.fold).alias("words"))
+    blocks = split.mapInArrow(name_words(tokenizer.of_byte, tokenizer.byte_pairs, run_words), BLOCK)
+    folded = blocks.select("doc_ids", "lengths", "codes", tokenizer.fold_words(F.col("words")).alias("words"))
     out = OUT + ", ids array<int>" * with_ids + ", decoded string" * with_decoded
     return folded.mapInArrow(put_together(tokenizer.pieces, with_ids, with_decoded), out).withColumnRenamed("doc_id", id_col)
 
