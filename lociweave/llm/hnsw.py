@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .shared import components, cut, spanning_forest
 from .sharded import blocks_of, build, meet
 
-LINKS, SHARD_ROWS, LEAST_SHARDS, BLOCK_ROWS = 16, 100_000, 8, 2048
+LINKS, SHARD_ROWS, LEAST_SHARDS, BLOCK_ROWS = 16, 100_000, 6, 2048
 
 
 class Graph:

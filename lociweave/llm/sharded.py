@@ -7,10 +7,11 @@ with the data, and a shard that is lost with its executor is read again from the
 
 from __future__ import annotations
 
-import pickle
+
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ def build(rows: DataFrame, columns: list[str], make: Callable[[dict], object], l
         for batch in batches:
             for k in range(batch.num_rows):
                 own = batch.column(1)[k].values
-                blob = pickle.dumps(make({c: own.field(i) for i, c in enumerate(columns)}), protocol=5)
+                blob = cloudpickle.dumps(make({c: own.field(i) for i, c in enumerate(columns)}), protocol=5)
                 yield pa.record_batch([batch.column(0).slice(k, 1), pa.array([blob], pa.large_binary())], schema=pa.schema([("shard", pa.int32()), ("blob", pa.large_binary())]))
 
     with arrow_rows(rows.sparkSession, 1):
@@ -53,7 +54,7 @@ def meet(shards: DataFrame, blocks: DataFrame, columns: list[str], search: Calla
             for k in range(batch.num_rows):
                 blob = batch.column(2)[k].as_py()
                 if blob is not None:
-                    shard, at = pickle.loads(blob), batch.column(0)[k].as_py()
+                    shard, at = cloudpickle.loads(blob), batch.column(0)[k].as_py()
                 elif at == batch.column(0)[k].as_py():
                     own = batch.column(3)[k].values
                     yield from search(shard, {c: own.field(i) for i, c in enumerate(columns)})
