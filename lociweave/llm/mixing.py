@@ -91,3 +91,12 @@ def mix(docs: DataFrame, weight_of: Callable[[int], float] = lambda i: 1.0 + i %
     drawn = drawn.join(sums, drawn["source"].eqNullSafe(sums["of"]) & (drawn["bucket"] == sums["in"]))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.col("inside")))
     return drawn.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), *[F.col(f"keep_{c}").alias(c) for c in keep or []])
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix as rows of docs: each document as often as the mix takes it, a part of half or more as the whole, with docs' columns."""
+    columns = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    known = docs.select(*columns, F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(source_col).alias("o"))
+    taken = mix(known, id_col="i", text_col="t", source_col="o", keep=[f"c{i}" for i in range(len(docs.columns))])
+    times = F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
+    return taken.withColumn("_times", times).where("_times > 0").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], F.explode(F.sequence(F.lit(1), "_times")).alias("_time")).drop("_time")

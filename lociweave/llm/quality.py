@@ -94,9 +94,12 @@ def strength(groups: DataFrame, mean: Column | float) -> float:
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
     """(id, document, host, path, score): the document's own probability, the posterior means, and all of it combined."""
-    named = docs.withColumns({"_id": F.col(id_col), "_host": F.col(host_col), "_path": F.col(path_col)})
-    kept = [c for c in keep or [] if c != id_col]
-    rows, _ = cut(with_features(named, ["_id", "_host", "_path", *kept], text_col, model), "quality")
+    # kept columns go by number on the way, so that none clashes with those made here
+    names = [c for c in keep or [] if c != id_col]
+    kept = [f"_keep{i}" for i in range(len(names))]
+    named = docs.select(F.col(id_col).alias("_id"), F.col(host_col).alias("_host"), F.col(path_col).alias("_path"), F.col(text_col).alias("_text"), *[F.col(c).alias(k) for c, k in zip(names, kept, strict=True)])
+    rows, _ = cut(with_features(named, ["_id", "_host", "_path", *kept], "_text", model), "quality")
+    kept = [F.col(k).alias(c) for c, k in zip(names, kept, strict=True)]
     rows = rows.withColumn("p", 1 / (1 + F.exp(-F.col("logit"))))
     sums = [F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("ss")]
     paths, _ = cut(rows.groupBy("_host", "_path").agg(*sums), "paths")
@@ -127,3 +130,12 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """score() with a model trained on the labels, and accepted: whether the score is at least `least`."""
     scored = score(docs, train(docs, labels, id_col, text_col), id_col, text_col, host_col, path_col, keep)
     return scored.withColumn("accepted", F.col("score") >= least)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", least: float = 0.5) -> DataFrame:
+    """The rows of docs that score at least `least`, with docs' columns."""
+    columns = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    known = docs.select(*columns, F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(host_col).alias("o"), F.col(path_col).alias("a"))
+    model = train(docs, labels, id_col, text_col)
+    scored = score(known, model, "i", "t", "o", "a", [f"c{i}" for i in range(len(docs.columns))])
+    return scored.where(F.col("score") >= least).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

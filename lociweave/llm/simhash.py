@@ -9,6 +9,9 @@ is compared whole by numpy exclusive-or and bit counts, and answers with a spann
 Work on tile pairs grows with the square of the number of distinct fingerprints, at the share of cell pairs in reach
 (below 2 % of pairs at radius 2); no link is lost to a cap.
 
+For similarity rather than a given radius, similar_groups() takes close fingerprints as they are and verifies proposals from
+farther out on whole shingle sets.
+
 Defined cases: null texts count as empty; texts without words have fingerprint zero and link like any other; texts of fewer
 words than a shingle are one shingle; ties of a bit (exactly half) give 0; repeated rows keep one output row each; an empty
 table gives an empty result.
@@ -30,101 +33,198 @@ TILE = 4096
 SEED = 42
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = SEED) -> int:
-    """Unsigned. A-Z are lower-cased; words are runs without space, tab, line feed, vertical tab, form feed or carriage return."""
+def shingle_hashes(text: str | None, shingle: int, seed: int = SEED) -> Iterator[np.ndarray]:
+    """Unsigned hashes of a text's shingles, in chunks. A-Z are lower-cased; words are runs without space, tab, line feed,
+    vertical tab, form feed or carriage return."""
     import xxhash
 
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return
     plain = b" ".join(words)
     if len(words) < shingle:
-        return xxhash.xxh64_intdigest(plain, seed)
+        yield np.array([xxhash.xxh64_intdigest(plain, seed)], dtype=np.uint64)
+        return
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    n = len(words) - shingle + 1
-    hashed = xxhash.xxh64_intdigest
-    counts = np.zeros(64, dtype=np.int64)
-    step = 1 << 16
+    n, step, hashed = len(words) - shingle + 1, 1 << 16, xxhash.xxh64_intdigest
     for low in range(0, n, step):
         high = min(low + step, n)
-        h = np.fromiter([hashed(plain[a:b], seed) for a, b in zip(starts[low:high].tolist(), ends[low + shingle - 1 : high + shingle - 1].tolist(), strict=True)], dtype=">u8", count=high - low)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n).view(">u8")[0])
-
+        yield np.fromiter([hashed(plain[a:b], seed) for a, b in zip(starts[low:high].tolist(), ends[low + shingle - 1 : high + shingle - 1].tolist(), strict=True)], dtype=np.uint64, count=high - low)
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(fp)], names=["id", "fp"])
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """Unsigned."""
+    counts, n = np.zeros(64, dtype=np.int64), 0
+    for h in shingle_hashes(text, shingle):
+        counts += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(h)
+    return int(np.packbits(2 * counts > n).view(">u8")[0]) if n else 0
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, fp bigint")
 
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The text's different shingles by their hashes, in order."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, shingle)]))
 
-def near_cells(radius: int) -> list[int]:
-    """Differences of cell codes within the radius, the cell itself first, each pair of cells met from one side only."""
-    steps = [d for d in itertools.product(range(-radius, radius + 1), repeat=4) if sum(map(abs, d)) <= radius and (d > (0, 0, 0, 0) or not any(d))]
-    return sorted(sum(x * 32 ** (3 - k) for k, x in enumerate(d)) for d in steps if any(d))
 
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, sizes: bool = False) -> DataFrame:
+    """(id, fp, size): fp is the fingerprint as a signed long, size the number of different shingles, 0 unless asked for."""
 
-def link_classes(classes: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
-    """(a, b): links between fingerprints (column fp, distinct) within the radius, thinned to forests within each tile pair."""
-    cell = None
-    for k in range(4):
-        part = F.bit_count(F.shiftrightunsigned(F.col("fp"), 48 - 16 * k).bitwiseAND(0xFFFF)).cast("bigint")
-        cell = part if cell is None else cell * 32 + part  # counts are at most 16, so differences of codes are unique to a step
-    sized = classes.select("fp", cell.alias("cell"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], dtype=np.uint64).view(np.int64)
+            size = [len(shingle_set(x.as_py(), shingle)) if sizes else 0 for x in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array(fp), pa.array(size, pa.int32())], names=["id", "fp", "size"])
+
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, fp bigint, size int")
+
+
+def near_cells(radius: int, segments: int, bands: bool) -> list[int]:
+    """Differences of cell codes within the radius, other than none, each pair of cells met from one side only."""
+    counts = [d for d in itertools.product(range(-radius, radius + 1), repeat=segments) if sum(map(abs, d)) <= radius]
+    steps = [(band, *d) for band in ((-1, 0, 1) if bands else (0,)) for d in counts]
+    zero = (0,) * (segments + 1)
+    return sorted(sum(x * 128 ** (segments - k) for k, x in enumerate(d)) for d in steps if d > zero)
+
+
+def link_classes(classes: DataFrame, radius: int = 2, tile: int = TILE, loose: int | None = None) -> DataFrame:
+    """(a, b, sure): links between fingerprints (column fp, distinct) within the radius, thinned to forests within each tile pair.
+
+    With `loose`, fingerprints up to that many bits apart are proposed too (sure is false), one pair for any two parts that
+    sure links of the tile pair leave apart; and only classes whose sizes (column size) are within a ratio of 0.8 meet.
+    """
+    reach, bands = loose or radius, loose is not None
+    segments = 4 if reach <= 3 else 2
+    # sizes within the ratio are in the same band or in neighbours
+    cell = F.floor(F.log(F.greatest(F.col("size"), F.lit(1))) / float(np.log(1.25))).cast("bigint") if bands else F.lit(0).cast("bigint")
+    for k in range(segments):
+        width = 64 // segments
+        part = F.bit_count(F.shiftrightunsigned(F.col("fp"), 64 - width - width * k).bitwiseAND((1 << width) - 1)).cast("bigint")
+        cell = cell * 128 + part  # counts stay below half of 128, so that differences of codes are unique to a step
+    sized = classes.select("fp", "size", cell.alias("cell"))
     tiles_of = sized.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    packed = sized.join(tiles_of, "cell").select("cell", part.alias("part"), "fp").groupBy("cell", "part").agg(F.collect_list("fp").alias("fps"))
+    packed = sized.join(tiles_of, "cell").select("cell", part.alias("part"), F.struct("fp", "size").alias("one")).groupBy("cell", "part").agg(F.collect_list("one").alias("fps"))
     packed, _ = cut(packed, "tiles")
 
     # a pair of tiles is named once: within a cell by parts in order, across cells from the side that near_cells() names
-    left = packed.select(F.col("cell").alias("from_cell"), F.col("part").alias("from_part"), F.col("fps").alias("a"), F.explode(F.array(*[F.lit(d).cast("bigint") for d in [0, *near_cells(radius)]])).alias("d"))
+    left = packed.select(F.col("cell").alias("from_cell"), F.col("part").alias("from_part"), F.col("fps").alias("a"), F.explode(F.array(*[F.lit(d).cast("bigint") for d in [0, *near_cells(reach, segments, bands)]])).alias("d"))
     left = left.select((F.col("from_cell") + F.col("d")).alias("cell"), "from_cell", "from_part", "a")
     pairs = left.join(packed.withColumnRenamed("fps", "b"), "cell").where("cell <> from_cell OR part >= from_part")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                a = batch.column(0)[k].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                b = batch.column(1)[k].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                same = batch.column(2)[k].as_py()
-                us, vs = [], []
+                (a, a_size), (b, b_size) = ([batch.column(c)[k].values.field(x).to_numpy(zero_copy_only=False) for x in (0, 1)] for c in (0, 1))
+                us, vs, ds = [], [], []
                 rows = max(1, (1 << 20) // max(1, len(b)))
                 for low in range(0, len(a), rows):
-                    near = np.bitwise_count(a[low : low + rows, None] ^ b[None, :]) <= radius
-                    i, j = np.nonzero(near)
+                    d = np.bitwise_count(a[low : low + rows, None].view(np.uint64) ^ b.view(np.uint64)[None, :])
+                    i, j = np.nonzero(d <= reach)
+                    d = d[i, j]
                     i += low
-                    if same:
-                        i, j = i[i < j], j[i < j]
+                    if bands:
+                        fit = 5 * np.minimum(a_size[i], b_size[j]) >= 4 * np.maximum(a_size[i], b_size[j])
+                        i, j, d = i[fit], j[fit], d[fit]
+                    if batch.column(2)[k].as_py():
+                        d, i, j = d[i < j], i[i < j], j[i < j]
                     us.append(a[i])
                     vs.append(b[j])
-                kept = spanning_forest(np.concatenate(us).view(np.int64), np.concatenate(vs).view(np.int64)) if us else []
+                    ds.append(d)
+                if not sum(map(len, us)):
+                    continue
+                u, v, d = np.concatenate(us), np.concatenate(vs), np.concatenate(ds)
+                sure = d <= radius
+                kept = [(x, y, True) for x, y in spanning_forest(u[sure], v[sure])]
+                if not sure.all():
+                    part = parts(kept)
+                    open_ = {}
+                    for at in np.argsort(d, kind="stable")[sure.sum() :].tolist():
+                        x, y = int(u[at]), int(v[at])
+                        ends = (part.get(x, x), part.get(y, y))
+                        if ends[0] != ends[1]:
+                            open_.setdefault((min(ends), max(ends)), (x, y, False))
+                    kept += open_.values()
                 if kept:
-                    yield pa.record_batch([pa.array([x for x, _ in kept], pa.int64()), pa.array([x for _, x in kept], pa.int64())], names=["a", "b"])
+                    yield pa.record_batch([pa.array([x[0] for x in kept], pa.int64()), pa.array([x[1] for x in kept], pa.int64()), pa.array([x[2] for x in kept], pa.bool_())], names=["a", "b", "sure"])
 
     same = (F.col("cell") == F.col("from_cell")) & (F.col("part") == F.col("from_part"))
-    return pairs.select("a", "b", same.alias("same")).mapInArrow(compare, "a bigint, b bigint")
+    return pairs.select("a", "b", same.alias("same")).mapInArrow(compare, "a bigint, b bigint, sure boolean")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """(id, fp, component): component is the smallest id whose fingerprint links reach, the row's own included."""
-    prints, _ = cut(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    classes, _ = cut(prints.groupBy("fp").agg(F.min("id").alias("low")), "classes")
-    links, _ = cut(link_classes(classes, radius), "links")
+def parts(links: list[tuple[int, int, bool]]) -> dict[int, int]:
+    """The part of each id that links name."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = parent[x]
+        return x
+
+    for a, b, _ in links:
+        parent[root(a)] = root(b)
+    return {x: root(x) for x in list(parent)}
+
+
+def joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(fp, component): the smallest id of the classes (fp, low) that links (a, b) reach."""
     stars = components(links)
     # stars name a class by its fingerprint; the class's smallest id stands for it
     named = stars.join(classes, stars["id"] == classes["fp"]).groupBy("component").agg(F.min("low").alias("low"))
     to = stars.join(named, "component").select(F.col("id").alias("fp"), F.col("low").alias("joined"))
-    of_class = classes.join(to, "fp", "left").select("fp", F.coalesce("joined", "low").alias("component"))
-    return prints.join(of_class, "fp").select(F.col("id").alias(id_col), "fp", "component")
+    return classes.join(to, "fp", "left").select("fp", F.coalesce("joined", "low").alias("component"))
+
 
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+    """(id, fp, component): component is the smallest id whose fingerprint links reach, the row's own included."""
+    prints, _ = cut(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    classes, _ = cut(prints.groupBy("fp").agg(F.min("id").alias("low"), F.min("size").alias("size")), "classes")
+    links, _ = cut(link_classes(classes, radius).select("a", "b"), "links")
+    return prints.join(joined_classes(classes, links), "fp").select(F.col("id").alias(id_col), "fp", "component")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 6, loose: int = 14) -> DataFrame:
+    """(id, fp, component) as groups(), for texts that share at least `least` of their shingles.
+
+    Fingerprints within the radius link as they are; those up to `loose` bits apart are proposals, verified on the whole shingle
+    sets of the two classes' first documents.
+    """
+    prints, _ = cut(fingerprints(docs, id_col, text_col, shingle, sizes=True), "fingerprints")
+    # an empty set is like no other; such texts are all of one class by their fingerprint
+    classes, _ = cut(prints.groupBy("fp").agg(F.min("id").alias("low"), F.min_by("size", "id").alias("size")), "classes")
+    links, _ = cut(link_classes(classes, radius, loose=loose), "links")
+    sure = links.where("sure").select("a", "b")
+    coarse, _ = cut(joined_classes(classes, sure), "coarse")
+    of = classes.join(coarse, "fp")
+    ends = of.select(F.col("fp"), F.col("low"), F.col("component").alias("part"))
+    pairs = links.where("NOT sure").join(ends.select(F.col("fp").alias("a"), F.col("low").alias("a_id"), F.col("part").alias("a_part")), "a")
+    pairs = pairs.join(ends.select(F.col("fp").alias("b"), F.col("low").alias("b_id"), F.col("part").alias("b_part")), "b").where("a_part <> b_part")
+    pairs, _ = cut(pairs.select("a", "b", "a_id", "b_id"), "proposals")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array([shingle_set(x.as_py(), shingle).tobytes() for x in batch.column(1)], pa.binary())], names=["of", "shingles"])
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 2) -> DataFrame:
-    """The rows of docs whose id is the smallest of its group, with docs' columns."""
-    kept = groups(docs, id_col, text_col, shingle, radius).where(F.col(id_col) == F.col("component")).select(F.col(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi").select(*docs.columns)
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= least * (len(x) + len(y) - both) and both > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    asked = pairs.select(F.col("a_id").alias("of")).unionByName(pairs.select(F.col("b_id").alias("of"))).distinct()
+    texts = docs.select(F.col(id_col).cast("bigint").alias("of"), F.col(text_col).alias("text")).join(asked, "of", "left_semi").dropDuplicates(["of"])
+    held, _ = cut(texts.mapInArrow(sets, "of bigint, shingles binary"), "shingles")
+    met = pairs.join(held.select(F.col("of").alias("a_id"), F.col("shingles").alias("x")), "a_id").join(held.select(F.col("of").alias("b_id"), F.col("shingles").alias("y")), "b_id")
+    verified, _ = cut(met.select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint"), "verified")
+    return prints.join(joined_classes(classes, sure.unionByName(verified)), "fp").select(F.col("id").alias(id_col), "fp", "component")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """One row of docs for each group of similar_groups(), that with the smallest id, with docs' columns; rows without an id stay."""
+    dropped = similar_groups(docs, id_col, text_col, shingle).where(F.col(id_col) != F.col("component")).select(id_col).distinct()
+    copies = docs.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+    return copies.join(dropped, id_col, "left_anti").select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
