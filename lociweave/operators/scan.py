@@ -80,12 +80,14 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, int]]:
     """All maximal scoring segments (Ruzzo and Tompa): half-open spans with their scores."""
+    if not len(scores):
+        return []
     done: list[tuple[int, int, int]] = []
     found: list[tuple[int, int, int, int]] = []  # start, end, total before, total after
     total = 0
     edges = np.flatnonzero(np.diff(scores > 0)) + 1  # runs of gains and of losses; a run of gains is never cut
-    begins = np.concatenate([[0], edges]).tolist() if len(scores) else []
-    sums = np.add.reduceat(scores, begins).tolist() if begins else []
+    begins = [0, *edges.tolist()]
+    sums = np.add.reduceat(scores, begins).tolist()
     for start, end, s in zip(begins, [*begins[1:], len(scores)], sums, strict=True):
         before, total = total, total + s
         if s <= 0:
