@@ -20,54 +20,27 @@ def dust_mask(seq: str, window: int = config.DUST_WINDOW, threshold: int = confi
     """Half-open spans, from 0, covered by perfect intervals: those within the window whose score is over the threshold and not below
     that of any part of theirs. Windows end at any base but A, C, G and T."""
     code = CODE[np.frombuffer(seq.encode("ascii", "replace"), dtype=np.uint8)]
-    n = len(code)
-    if n < 3:
+    if len(code) < 3:
         return []
-    triplet = np.where((code[:-2] < 4) & (code[1:-1] < 4) & (code[2:] < 4), code[:-2] * 16 + code[1:-1] * 4 + code[2:], -1)
-    most = window - 2  # triplets in a window
+    triplet = code[:-2] * 16 + code[1:-1] * 4 + code[2:]
+    broken = (code[:-2] > 3) | (code[1:-1] > 3) | (code[2:] > 3)
+    n = len(triplet)
+    # for intervals that begin at a triplet: how often it comes again; for those that end at one: score, highest ratio of any part
+    again, score, top = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1.0)
+    spoiled = broken.copy()
     spans = []
-    best_of: list[tuple[int, int, int]] = []  # perfect intervals that may still bound others: start, score, triplets
-    ends = ends_over(triplet, most, threshold)
-    for end in ends.tolist():
-        counts: dict[int, int] = {}
-        score, top, top_n = 0, 0, 0
-        best_of = [b for b in best_of if b[0] > end - most]
-        for start in range(end, max(-1, end - most), -1):
-            t = int(triplet[start])
-            if t < 0:
-                break
-            c = counts.get(t, 0)
-            score += c
-            counts[t] = c + 1
-            size = end - start + 1
-            for s, sc, m in best_of:
-                if s >= start and (top_n == 0 or sc * top_n > top * m):
-                    top, top_n = sc, m
-            if size > 1 and 10 * score > threshold * (size - 1) and (top_n == 0 or score * top_n >= top * (size - 1)):
-                spans.append((start, end + 3))
-                best_of.append((start, score, size - 1))
-                top, top_n = score, size - 1
+    for k in range(1, min(window - 2, n)):  # intervals of k + 1 triplets, all at once
+        again[: n - k] += (triplet[: n - k] == triplet[k:]) & ~broken[: n - k]
+        score[k:] += again[: n - k]
+        spoiled[k:] |= broken[: n - k]
+        ratio = np.where(spoiled[k:], -1.0, score[k:] / k)
+        part = np.maximum(top[k:], top[k - 1 : -1])
+        ends = np.flatnonzero((10 * score[k:] > threshold * k) & ~spoiled[k:] & (ratio >= part))
+        spans += [(e, e + k + 3) for e in ends.tolist()]
+        top[k:] = np.maximum(ratio, part)
     return merge_spans(spans)
 
 
-def ends_over(triplet: np.ndarray, most: int, threshold: int, chunk: int = 1 << 15) -> np.ndarray:
-    """Places where some interval over the threshold ends, for all places of a chunk at once."""
-    out = []
-    for low in range(0, len(triplet), chunk):
-        own = np.concatenate([np.full(max(0, most - low), -1), triplet[max(0, low - most) : low + chunk]])
-        n = len(own) - most
-        pairs = np.zeros((most, n), dtype=np.int16)  # [k]: equal pairs with the triplet k places before the end
-        same = [None, *[(own[j:] == own[:-j]) & (own[j:] >= 0) for j in range(1, most)]]
-        for k in range(1, most):
-            for j in range(1, k + 1):
-                # triplets at end - k and end - k + j
-                at = most - k
-                pairs[k] += same[j][at : at + n]
-        score = np.cumsum(pairs, axis=0, dtype=np.int32)
-        out.append(np.flatnonzero((10 * score[1:] > threshold * np.arange(1, most)[:, None]).any(axis=0)) + low)
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
-
-
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -127,11 +100,21 @@ def tandem_repeats(seq: str, periods: tuple[int, int] = config.TANDEM["periods"]
             start, end = a, b + p
             if end - start >= min_copies * p and primitive(s[start : start + p]):
                 found.append((start, end, p, score))
-    kept = []
-    for a, b, p, score in found:
-        inside = sum(max(0, min(b, d) - max(a, c)) for c, d, q, _ in found if q < p and p % q == 0)
-        if 2 * inside < b - a:
-            kept.append((a, b, p, score))
+    kept, covered = [], {}
+    for q in range(periods[0], periods[1] + 1):
+        step = np.zeros(len(code) + 1, dtype=np.int64)
+        for a, b, p, _ in found:
+            if p == q:
+                step[a] += 1
+                step[b] -= 1
+        covered[q] = np.cumsum(step)[:-1] > 0
+    for p in range(periods[0], periods[1] + 1):
+        under = np.zeros(len(code), dtype=bool)
+        for q in range(periods[0], p):
+            if p % q == 0:
+                under |= covered[q]
+        run = np.concatenate([[0], np.cumsum(under)])
+        kept += [(a, b, p, score) for a, b, own, score in found if own == p and 2 * (run[b] - run[a]) < b - a]
     return sorted(kept)
 
 
