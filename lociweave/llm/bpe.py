@@ -1,8 +1,9 @@
 """Byte-level BPE with Spark higher-order functions over the distinct words of a block of documents.
 
-1. Java's matcher splits each text into words by the tokenizer's pattern (white space by its Unicode definition).
-2. An Arrow step names the words of a run of documents by codes and passes each word on once, with the codes of each
-   document; no shuffle, and no word is carried twice within a run.
+1. An Arrow step splits each text into words by the tokenizer's pattern (white space by its Unicode property), names the
+   words of a run of documents by codes and passes each distinct word on once, with the codes of each document; no
+   shuffle, and no word is carried twice within a run.
+2. Words that a bounded sample shows to be frequent (at most FREQUENT, of about SAMPLE documents) are folded ahead, once.
 3. aggregate() folds merges over each distinct word, an array of its bytes' ids: the adjacent pair of lowest rank, the
    leftmost of equals, is merged until none is left. Ranks come from a literal map in the plan: (left id, right id)
    to merged id, kept as a two-level perfect hash in one literal array, as Spark's own maps are searched linearly.
@@ -19,6 +20,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RUN_WORDS = 4_000_000
+SAMPLE, FREQUENT = 20_000, 200_000
 WIDTH, PLACES = 17, 28  # bits of an id and of a byte's place in its word
 NO_PAIR = 1 << WIDTH + WIDTH + PLACES  # entries from here on have no pair to merge
 
@@ -73,12 +77,16 @@ class Tokenizer:
 
     def __init__(self, path: str, pattern: str) -> None:
         self.ranks = read_ranks(path)
-        self.pattern = "(?U)" + pattern
+        # white space by its Unicode property, whatever a matcher takes for it
+        self.pattern = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.pieces = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for piece, rank in self.ranks.items():
             self.pieces[rank] = piece
-        self.of_byte = [self.ranks[bytes([b])] for b in range(256)]
-        self.byte_pairs = {(t[0], t[1]): r for t, r in self.ranks.items() if len(t) == 2}
+        self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        self.pair_rank = np.full(1 << 16, 1 << WIDTH, dtype=np.int64)  # of two bytes
+        for t, r in self.ranks.items():
+            if len(t) == 2:
+                self.pair_rank[t[0] << 8 | t[1]] = r
         self.buckets, self.table = perfect_hash(pair_ranks(self.ranks))
 
     def literal(self) -> Column:
@@ -131,57 +139,94 @@ class Tokenizer:
 BLOCK = "doc_ids array<bigint>, lengths array<int>, codes binary, words array<array<bigint>>"
 
 
-def name_words(of_byte: list[int], byte_pairs: dict[tuple[int, int], int], run_words: int):
-    """Batches of (id, words) to rows of BLOCK: ids and word counts of documents, their words as codes, each distinct word once, as entries."""
+def entries_of(words: list[str], of_byte: np.ndarray, pair_rank: np.ndarray) -> pa.ListArray:
+    """Each word's bytes as the entries that the fold starts from."""
+    raw = pa.array(words, pa.string()).cast(pa.binary())
+    ends = np.frombuffer(raw.buffers()[1], dtype=np.int32)[: len(raw) + 1].astype(np.int64) if len(raw) else np.zeros(1, np.int64)
+    data = np.frombuffer(raw.buffers()[2] or b"", dtype=np.uint8)[: ends[-1]]
+    rank = np.full(len(data), 1 << WIDTH, dtype=np.int64)
+    rank[:-1] = pair_rank[data[:-1].astype(np.int64) << 8 | data[1:]]
+    rank[ends[1:] - 1] = 1 << WIDTH  # a word's last byte begins no pair; words are never empty
+    place = np.arange(len(data)) - np.repeat(ends[:-1], np.diff(ends))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rank << WIDTH + PLACES | place << WIDTH | of_byte[data]))
+
+
+def name_words(tokenizer: "Tokenizer", known, run_words: int):
+    """Batches of (id, text) to rows of BLOCK: ids and word counts of documents, their words as codes, each new distinct word once, as entries.
+
+    known: a broadcast of the words that have codes already, in the order of their codes.
+    """
+    pattern, of_byte, pair_rank = tokenizer.pattern, tokenizer.of_byte, tokenizer.pair_rank
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = np.array(of_byte, dtype=np.int64)
-        first = np.full(1 << 16, 1 << WIDTH, dtype=np.int64)  # ranks of pairs of bytes
-        for (a, b), rank in byte_pairs.items():
-            first[a << 8 | b] = rank
+        import regex
+
+        words_in = regex.compile(pattern).findall
         schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("codes", pa.binary()), ("words", pa.list_(pa.list_(pa.int64())))])
+        first = {w: i for i, w in enumerate(known.value)}
+        table, ids, lengths, codes, held = dict(first), [], [], [], 0
+
+        def block() -> pa.RecordBatch:
+            new = entries_of(list(itertools.islice(table, len(first), None)), of_byte, pair_rank)
+            whole = np.concatenate(codes).tobytes() if codes else b""
+            return pa.record_batch([pa.array([ids], schema[0].type), pa.array([lengths], schema[1].type), pa.array([whole], schema[2].type), pa.ListArray.from_arrays(pa.array([0, len(new)], pa.int32()), new)], schema=schema)
 
-        def block(ids: list[pa.Array], words: list[pa.ListArray]) -> pa.RecordBatch:
-            both = pa.concat_arrays(words) if len(words) > 1 else words[0]
-            named = both.flatten().dictionary_encode()
-            raw = named.dictionary.cast(pa.binary())
-            ends = np.frombuffer(raw.buffers()[1], dtype=np.int32)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int32)
-            data = np.frombuffer(raw.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]] if len(raw) else np.zeros(0, np.uint8)
-            ends = (ends - ends[0]).astype(np.int64)
-            rank = np.full(len(data), 1 << WIDTH, dtype=np.int64)
-            rank[:-1] = first[data[:-1].astype(np.int64) << 8 | data[1:]]
-            rank[ends[1:] - 1] = 1 << WIDTH  # a word's last byte begins no pair; words are never empty
-            place = np.arange(len(data)) - np.repeat(ends[:-1], np.diff(ends))
-            entries = rank << WIDTH + PLACES | place << WIDTH | ids_of[data]
-            spelled = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(entries))
-            codes = named.indices.to_numpy(zero_copy_only=False).astype(np.int32).tobytes()
-            lengths = both.value_lengths().fill_null(0)
-            return pa.record_batch([pa.array([pa.concat_arrays(ids).to_pylist()], schema[0].type), pa.array([lengths.to_pylist()], schema[1].type), pa.array([codes], schema[2].type), pa.ListArray.from_arrays(pa.array([0, len(spelled)], pa.int32()), spelled)], schema=schema)
-
-        ids, words, held = [], [], 0
         for batch in batches:
-            at = 0
-            lengths = np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False)) if batch.num_rows else []
-            while at < batch.num_rows:
-                done = int(lengths[at - 1]) if at else 0
-                to = max(at + 1, int(np.searchsorted(lengths, done + run_words - held, side="right")))
-                ids.append(batch.column(0).slice(at, to - at))
-                words.append(batch.column(1).slice(at, to - at))
-                held += int(lengths[to - 1]) - done
-                at = to
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = words_in(text.as_py() or "")
+                own = np.fromiter([table.setdefault(w, len(table)) for w in words], dtype=np.int32, count=len(words))
+                ids.append(i)
+                lengths.append(len(own))
+                codes.append(own)
+                held += len(own)
                 if held >= run_words:
-                    yield block(ids, words)
-                    ids, words, held = [], [], 0
+                    yield block()
+                    table, ids, lengths, codes, held = dict(first), [], [], [], 0
         if ids:
-            yield block(ids, words)
+            yield block()
 
     return run
 
 
+def frequent_words(docs: DataFrame, tokenizer: "Tokenizer", text_col: str, sample: int, words: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """At most `words` words that are frequent in a sample of about `sample` documents, all their ids, and each one's number of ids.
+
+    What is frequent saves work only: such words are folded once rather than in each run. The result does not depend on it.
+    """
+    n = docs.count()
+    pattern, of_byte, pair_rank = tokenizer.pattern, tokenizer.of_byte, tokenizer.pair_rank
+    some = docs.select(F.col(text_col).alias("text")).where(F.length(text_col) < 1 << 20)
+    some = some.sample(min(1.0, sample / n), seed=1) if n else some
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        words_in, counts = regex.compile(pattern).findall, Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                counts.update(words_in(text.as_py() or ""))
+        often = [(w, c) for w, c in counts.items() if c > 1]
+        yield pa.record_batch([pa.array([w for w, _ in often], pa.string()), pa.array([c for _, c in often], pa.int64())], names=["word", "n"])
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 2000):
+                part = batch.column(0).slice(low, 2000)
+                one = entries_of(part.to_pylist(), of_byte, pair_rank)
+                yield pa.record_batch([pa.array([part.to_pylist()], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array([0, len(one)], pa.int32()), one)], names=["words", "entries"])
+
+    top = some.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
+    # dealt out again, as a limit leaves one partition
+    dealt = top.select("word").repartition(12).mapInArrow(entries, "words array<string>, entries array<array<bigint>>")
+    rows = dealt.select("words", tokenizer.fold_words(F.col("entries")).alias("ids")).collect()
+    ids = [x for r in rows for x in r["ids"]]
+    return [w for r in rows for w in r["words"]], np.array([i for x in ids for i in x], dtype=np.int64), np.array([len(x) for x in ids], dtype=np.int64)
+
+
 OUT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
-def ids_of_blocks(batch: pa.RecordBatch) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+def ids_of_blocks(batch: pa.RecordBatch, known_ids: np.ndarray, known_sizes: np.ndarray) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """For each block: document ids, all its token ids, and where each document's begin and end."""
     for k in range(batch.num_rows):
         docs, lengths = batch.column(0)[k].values, batch.column(1)[k].values.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -189,6 +234,7 @@ def ids_of_blocks(batch: pa.RecordBatch) -> Iterator[tuple[list, np.ndarray, np.
         folded = batch.column(3)[k].values
         flat = folded.flatten().to_numpy(zero_copy_only=False) if len(folded) else np.zeros(0, np.int64)
         sizes = folded.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) if len(folded) else np.zeros(0, np.int64)
+        flat, sizes = np.concatenate([known_ids, flat]), np.concatenate([known_sizes, sizes])
         begins = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         each = sizes[codes]
         ends = np.concatenate([[0], np.cumsum(each)])
@@ -198,11 +244,11 @@ def ids_of_blocks(batch: pa.RecordBatch) -> Iterator[tuple[list, np.ndarray, np.
         yield docs.to_pylist(), tokens, bounds
 
 
-def put_together(pieces: list[bytes], with_ids: bool, with_decoded: bool):
+def put_together(pieces: list[bytes], known, with_ids: bool, with_decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shown = [str(i) for i in range(len(pieces))]
         for batch in batches:
-            for docs, tokens, bounds in ids_of_blocks(batch):
+            for docs, tokens, bounds in ids_of_blocks(batch, *known.value):
                 for low in range(0, len(docs), 256):
                     rows = []
                     for d in range(low, min(low + 256, len(docs))):
@@ -217,17 +263,16 @@ def put_together(pieces: list[bytes], with_ids: bool, with_decoded: bool):
     return run
 
 
-def words_of(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
-
-
-def encode(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, with_decoded: bool = False, run_words: int = RUN_WORDS) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, with_decoded: bool = False, run_words: int = RUN_WORDS, frequent: int = FREQUENT) -> DataFrame:
     """Token counts and digests of ids and of the decoded bytes; with_ids and with_decoded add the ids and the decoded text."""
-    split = docs.select(F.col(id_col).cast("bigint").alias("id"), words_of(F.col(text_col), tokenizer.pattern).alias("words"))
-    blocks = split.mapInArrow(name_words(tokenizer.of_byte, tokenizer.byte_pairs, run_words), BLOCK)
+    spark = docs.sparkSession
+    words, ids, sizes = frequent_words(docs, tokenizer, text_col, SAMPLE, frequent)
+    known, known_ids = spark.sparkContext.broadcast(words), spark.sparkContext.broadcast((ids, sizes))
+    slim = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    blocks = slim.mapInArrow(name_words(tokenizer, known, run_words), BLOCK)
     folded = blocks.select("doc_ids", "lengths", "codes", tokenizer.fold_words(F.col("words")).alias("words"))
     out = OUT + ", ids array<int>" * with_ids + ", decoded string" * with_decoded
-    return folded.mapInArrow(put_together(tokenizer.pieces, with_ids, with_decoded), out).withColumnRenamed("doc_id", id_col)
+    return folded.mapInArrow(put_together(tokenizer.pieces, known_ids, with_ids, with_decoded), out).withColumnRenamed("doc_id", id_col)
 
 
 def decode(encoded: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
