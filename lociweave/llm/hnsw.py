@@ -1,7 +1,7 @@
 """Embedding near-duplicates: hierarchical navigable small-world graphs, one per shard.
 
 Equal vectors are one class from the start. Classes are dealt to shards by hash; each shard builds a graph, every class
-is a query at every shard, and beams widen for queries whose beam is full of links. Each block of queries is audited at
+is a query at every shard, and beams widen for queries whose beam is half full of links. Each block of queries is audited at
 each shard: links of a sample of its queries, found by brute force, must be among those found, else the base beam of the
 whole block doubles and the search is repeated, up to the shard's size, where it is exhaustive. Candidates are verified
 by cosine in double precision. A block answers with each query's number of links and a spanning forest of its links, so
@@ -155,17 +155,18 @@ class Graph:
         order = np.argsort(-sims, axis=1, kind="stable")
         return np.take_along_axis(nodes, order, axis=1), np.take_along_axis(sims, order, axis=1)
 
-    def search(self, queries: np.ndarray, breadth: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, queries: np.ndarray, breadth: int, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The beam's nodes and cosines on the lowest layer, from the nodes in start (a row for each query) or down from the top."""
         breadth = min(breadth, max(4, len(self.x)))
         out_n, out_s = [], []
         step = max(16, min(512, (1 << 27) // (len(self.x) + 1)))
         for low in range(0, len(queries), step):
             q = queries[low : low + step]
             entry = np.repeat(self.top[None, :1], len(q), axis=0)
-            for height in range(int(self.level[self.top].max()), 0, -1):
+            for height in range(int(self.level[self.top].max()), 0, -1) if start is None else ():
                 entry, _ = self.beam(q, entry, height, 8)
                 entry = entry[:, :4]
-            n, s = self.beam(q, entry, 0, breadth)
+            n, s = self.beam(q, entry if start is None else start[low : low + step], 0, breadth)
             out_n.append(n)
             out_s.append(s)
         return np.concatenate(out_n), np.concatenate(out_s)
@@ -186,14 +187,15 @@ def linked(graph: Graph, x: np.ndarray, q: np.ndarray, least: float, breadth: in
     true = q[sample] @ x.T >= least
     q32 = q.astype(np.float32)
     while True:
-        rows, cols, todo, beam = [], [], np.arange(len(q)), breadth
+        rows, cols, todo, beam, start = [], [], np.arange(len(q)), breadth, None
         while len(todo):
-            nodes, sims = graph.search(q32[todo], beam)
-            full = (sims[:, -1] >= least - margin) & (beam < n)  # the beam holds links alone: there may be more
+            nodes, sims = graph.search(q32[todo], beam, start)
+            # links fill half of the beam: there may be more, or some that only places farther out lead to
+            full = (sims[:, sims.shape[1] // 2] >= least - margin) & (beam < n)
             r, c = np.nonzero((sims >= least - margin) & ~full[:, None])
             rows.append(todo[r])
             cols.append(nodes[r, c])
-            todo, beam = todo[full], min(2 * beam, n)
+            todo, beam, start = todo[full], min(2 * beam, n), nodes[full]  # a wider beam goes on from what it holds
         rows, cols = np.concatenate(rows), np.concatenate(cols)
         exact = np.einsum("kd,kd->k", q[rows], x[cols]) >= least
         rows, cols = rows[exact], cols[exact]
