@@ -59,5 +59,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_embedding_near_dedup, op2_byte_bpe, op3_secret_scan, op4_warc, op5_quality_classifier, op6_simhash_near_dedup, op7_source_mixing, op8_toxicity, op9_personal_data, op10_exact_top_k)}
 
 
+ORACLES = {
+    "op1_embedding_near_dedup": """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+ e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.9),
+ r AS (SELECT vec_id AS id, vec_id AS root FROM v UNION SELECT e.b AS id, r.root FROM r JOIN e ON r.id = e.a),
+ c AS (SELECT id, min(root) AS component_id FROM r GROUP BY id), n AS (SELECT a AS id, count(*) AS n FROM e GROUP BY a)
+ SELECT c.id AS vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, c.id = component_id AS kept FROM c LEFT JOIN n USING (id)""",
+    "op10_exact_top_k": """WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x > 0) AS s FROM embeddings),
+ d AS (SELECT q.id AS query_id, v.id AS vec_id, CAST(list_sum(list_transform(range(1, len(q.s) + 1), lambda i: CASE WHEN q.s[i] <> v.s[i] THEN 1 ELSE 0 END)) AS INT) AS distance
+ FROM v q JOIN v ON q.id % 20 = 0 AND q.id <> v.id AND len(q.s) = len(v.s)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d)
+ SELECT query_id, CAST(rank AS INT) AS rank, vec_id, distance FROM r WHERE rank <= 10""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For the queries that SQL can express at the size of a test; the others are tested against plain versions."""
+    return ORACLES
