@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RUN_WORDS = 4_000_000
+RUN_WORDS, BATCH_TOKENS = 1_500_000, 200_000
 SAMPLE, FREQUENT = 20_000, 200_000
 WIDTH, PLACES = 17, 28  # bits of an id and of a byte's place in its word
 NO_PAIR = 1 << WIDTH + WIDTH + PLACES  # entries from here on have no pair to merge
@@ -249,9 +249,12 @@ def put_together(pieces: list[bytes], known, with_ids: bool, with_decoded: bool)
         shown = [str(i) for i in range(len(pieces))]
         for batch in batches:
             for docs, tokens, bounds in ids_of_blocks(batch, *known.value):
-                for low in range(0, len(docs), 256):
+                low = 0
+                while low < len(docs):
+                    high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + BATCH_TOKENS, side="right")) - 1)
+                    high = min(high, low + 1024, len(docs))
                     rows = []
-                    for d in range(low, min(low + 256, len(docs))):
+                    for d in range(low, high):
                         ids = tokens[bounds[d] : bounds[d + 1]].tolist()
                         decoded = b"".join([pieces[i] for i in ids])
                         row = {"doc_id": docs[d], "n_tokens": len(ids), "ids_sha256": hashlib.sha256(" ".join([shown[i] for i in ids]).encode()).hexdigest(), "decoded_sha256": hashlib.sha256(decoded).hexdigest()}
@@ -259,6 +262,7 @@ def put_together(pieces: list[bytes], known, with_ids: bool, with_decoded: bool)
                     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
                     fields += [("ids", pa.list_(pa.int32()))] * with_ids + [("decoded", pa.string())] * with_decoded
                     yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(fields))
+                    low = high
 
     return run
 
