@@ -3,7 +3,8 @@ are merged into one globally ordered capture history.
 
 Writing: a capture whose payload another capture repeats is a revisit record that refers to it; which capture keeps the
 payload is settled on digests alone, before any payload moves. Payloads move once, to archive files of bounded size,
-each sorted by URL key and time, through Spark's text writer, whose record terminator is the archive format's own.
+each sorted by URL key and time, through Spark's text writer, whose record terminator is the archive format's own; archives
+are compressed, and offsets count bytes of what they hold.
 Reading: each archive is parsed by Content-Length, and its index entries form a run sorted by URL key and time. Merging:
 runs are cut at sampled URL keys by a range partitioning, and each task merges its slices of all runs with a loser tree;
 tasks follow each other in order. A URL captured very often shares a task with its neighbours, by key and then time, since
@@ -17,6 +18,7 @@ table gives no archives and an empty result.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -56,7 +58,8 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     # which ids revisit which: copies meet as small rows, combined map-side
     kept = slim.where(F.col("bytes") >= least).groupBy("hex").agg(F.max("id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1")
     revisits = slim.where(F.col("bytes") >= least).join(kept, "hex").where("id <> refers_to").select("id", "refers_to").distinct()
-    files = max(1, -(-(total[0] + 400 * total[1]) // file_bytes))
+    most_records = max(1, int(file_bytes * total[1] // (total[0] + 400 * total[1])))
+    # payloads move once at most, for this join; archives are what its partitions hold, cut by records of the mean size
     joined = rows.join(revisits, "id", "left").withColumn("hex", F.sha1(F.col("payload").cast("binary")))
 
     when = F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit(EPOCH).cast("timestamp")) + F.col("id")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -73,7 +76,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"),
     )
     records = joined.select(F.concat(head, block).alias("value"), sort_key(F.col("url")).alias("k"), "id")
-    records.repartition(int(files), F.col("id")).sortWithinPartitions("k", "id").select("value").write.mode("append").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 200_000).text(path)
+    records.sortWithinPartitions("k", "id").select("value").write.mode("append").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most_records).text(path)
 
 
 def sort_key(url: Column) -> Column:
@@ -112,7 +115,7 @@ def index(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 name, rows = batch.column(0)[k].as_py(), []
-                for at, length, h, block in records_of(batch.column(1)[k].as_py()):
+                for at, length, h, block in records_of(gzip.decompress(batch.column(1)[k].as_py())):
                     http, _, payload = block.partition(b"\r\n\r\n")
                     kind = h[b"WARC-Type"].decode()
                     if kind == "revisit":
@@ -130,7 +133,7 @@ def index(spark: SparkSession, path: str) -> DataFrame:
                     part = list(zip(*rows[low : low + 10_000], strict=True))
                     yield pa.record_batch([pa.array(c, kinds[f.split()[1]]) for c, f in zip(part, INDEX.split(", "), strict=True)], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("path", "content")
     return files.mapInArrow(run, INDEX)
 
 
