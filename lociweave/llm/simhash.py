@@ -9,8 +9,8 @@ is compared whole by numpy exclusive-or and bit counts, and answers with a spann
 Work on tile pairs grows with the square of the number of distinct fingerprints, at the share of cell pairs in reach
 (below 2 % of pairs at radius 2); no link is lost to a cap.
 
-For similarity rather than a given radius, similar_groups() takes close fingerprints as they are and verifies proposals from
-farther out on whole shingle sets.
+For similarity rather than a given radius, similar_groups() uses no fingerprints: texts that share a shingle of their prefixes
+are compared on whole shingle sets, which misses no pair of the wanted similarity.
 
 Defined cases: null texts count as empty; texts without words have fingerprint zero and link like any other; texts of fewer
 words than a shingle are one shingle; ties of a bit (exactly half) give 0; repeated rows keep one output row each; an empty
@@ -21,16 +21,21 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, cut, spanning_forest
+from .shared import arrow_rows, components, cut, drop_path, spanning_forest
 
 TILE = 4096
 SEED = 42
+# similar_groups(): texts sampled to order shingles and shingles known as common, which no result depends on; turns of hubs
+ORDER_SAMPLE = 8000
+HOT_SHINGLES = 100_000
+HUB_TURNS = 2
 
 
 def shingle_hashes(text: str | None, shingle: int, seed: int = SEED) -> Iterator[np.ndarray]:
@@ -184,43 +189,115 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     return prints.join(joined_classes(classes, links), "fp").select(F.col("id").alias(id_col), "fp", "component")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 6, loose: int = 14) -> DataFrame:
-    """(id, fp, component) as groups(), for texts that share at least `least` of their shingles.
+def hot_shingles(reps: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles that many of a sample of texts share, the most common last. They only set the order in which prefixes are taken:
+    the answer is the same for any order, the work is less when common shingles come last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0):
+                yield pa.record_batch([pa.array(shingle_set(x.as_py(), shingle).view(np.int64))], names=["token"])
+
+    one_in = max(1, reps.count() // ORDER_SAMPLE)
+    counted = reps.where(F.pmod(F.xxhash64("fp"), F.lit(one_in)) == 0).select("text").mapInArrow(run, "token bigint").groupBy("token").count().where("count > 3")
+    rows = counted.orderBy(F.desc("count"), "token").limit(HOT_SHINGLES).collect()
+    return np.array([r["token"] for r in reversed(rows)], dtype=np.int64).view(np.uint64)
 
-    Fingerprints within the radius link as they are; those up to `loose` bits apart are proposals, verified on the whole shingle
-    sets of the two classes' first documents.
-    """
-    prints, _ = cut(fingerprints(docs, id_col, text_col, shingle, sizes=True), "fingerprints")
-    # an empty set is like no other; such texts are all of one class by their fingerprint
-    classes, _ = cut(prints.groupBy("fp").agg(F.min("id").alias("low"), F.min_by("size", "id").alias("size")), "classes")
-    links, _ = cut(link_classes(classes, radius, loose=loose), "links")
-    sure = links.where("sure").select("a", "b")
-    coarse, _ = cut(joined_classes(classes, sure), "coarse")
-    of = classes.join(coarse, "fp")
-    ends = of.select(F.col("fp"), F.col("low"), F.col("component").alias("part"))
-    pairs = links.where("NOT sure").join(ends.select(F.col("fp").alias("a"), F.col("low").alias("a_id"), F.col("part").alias("a_part")), "a")
-    pairs = pairs.join(ends.select(F.col("fp").alias("b"), F.col("low").alias("b_id"), F.col("part").alias("b_part")), "b").where("a_part <> b_part")
-    pairs, _ = cut(pairs.select("a", "b", "a_id", "b_id"), "proposals")
+
+def prefixes(reps: DataFrame, shingle: int, least: Fraction, hot: np.ndarray) -> DataFrame:
+    """(token, fp, size, at): of each text's different shingles, in one order for all texts, as many from the front as two sets
+    of the similarity cannot both do without; `at` counts from 0."""
+    by_hash, rank = np.sort(hot), np.argsort(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for fp, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                have = shingle_set(text.as_py(), shingle)
+                if not len(have):
+                    continue
+                if len(by_hash):
+                    place = np.minimum(np.searchsorted(by_hash, have), len(by_hash) - 1)
+                    have = have[np.argsort(np.where(by_hash[place] == have, rank[place] + 1, 0), kind="stable")]
+                # a partner shares at least ceil(least * n) of them, so that one is among the first n - that + 1
+                n = len(have) + int(-least * len(have) // 1) + 1
+                yield pa.record_batch([pa.array(have[:n].view(np.int64)), pa.array(np.full(n, fp, np.int64)), pa.array(np.full(n, len(have), np.int32)), pa.array(np.arange(n, dtype=np.int32))], names=["token", "fp", "size", "at"])
+
+    return reps.select("fp", "text").mapInArrow(run, "token bigint, fp bigint, size int, at int")
+
+
+def similar_pairs(pairs: DataFrame, reps: DataFrame, shingle: int, least: Fraction) -> DataFrame:
+    """Of pairs (a, b) of classes those whose whole shingle sets are as similar."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([shingle_set(x.as_py(), shingle).tobytes() for x in batch.column(1)], pa.binary())], names=["of", "shingles"])
+            for low in range(0, batch.num_rows, 256):
+                some = batch.slice(low, 256)
+                yield pa.record_batch([some.column(0), pa.array([shingle_set(x.as_py(), shingle).tobytes() for x in some.column(1)], pa.binary())], names=["of", "shingles"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= least * (len(x) + len(y) - both) and both > 0)
+                good.append(both > 0 and both * least.denominator >= least.numerator * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    asked = pairs.select(F.col("a_id").alias("of")).unionByName(pairs.select(F.col("b_id").alias("of"))).distinct()
-    texts = docs.select(F.col(id_col).cast("bigint").alias("of"), F.col(text_col).alias("text")).join(asked, "of", "left_semi").dropDuplicates(["of"])
-    held, _ = cut(texts.mapInArrow(sets, "of bigint, shingles binary"), "shingles")
-    met = pairs.join(held.select(F.col("of").alias("a_id"), F.col("shingles").alias("x")), "a_id").join(held.select(F.col("of").alias("b_id"), F.col("shingles").alias("y")), "b_id")
-    verified, _ = cut(met.select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint"), "verified")
-    return prints.join(joined_classes(classes, sure.unionByName(verified)), "fp").select(F.col("id").alias(id_col), "fp", "component")
+    asked = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    held, path = cut(reps.select("fp", "text").join(asked, "fp", "left_semi").mapInArrow(sets, "of bigint, shingles binary"), "shingles")
+    met = pairs.join(held.select(F.col("of").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("of").alias("b"), F.col("shingles").alias("y")), "b")
+    with arrow_rows(pairs.sparkSession, 1000):
+        verified, _ = cut(met.select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint"), "verified")
+    drop_path(pairs.sparkSession, path)
+    return verified
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """(id, fp, component): component is the smallest id that links of texts sharing at least `least` of their different shingles
+    reach, the row's own included; fp names the class of rows with the same text.
+
+    Every pair of that similarity is either compared on whole shingle sets or already joined by others that were: two such sets
+    share a shingle of their prefixes, at places that leave room for what they share. First each text is compared with one
+    other for each of its prefix's shingles, which joins most of large groups; then all pairs that sharing leaves apart.
+    Texts without words are one class.
+    """
+    ratio = Fraction(str(least))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.when(text.rlike(r"[^\x20\x09-\x0D]"), text).otherwise(F.lit("")).alias("text")).withColumn("fp", F.xxhash64("text"))
+    reps, _ = cut(rows.groupBy("fp").agg(F.min("id").alias("low"), F.first("text").alias("text")), "classes")
+    classes = reps.select("fp", "low")
+    found, _ = cut(prefixes(reps, shingle, ratio, hot_shingles(reps, shingle)), "prefixes")
+    shared = found.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+    places, _ = cut(found.join(shared, "token"), "places")
+
+    # sizes within the ratio; and what is left of both from the first shared shingle on can be enough
+    num, den = ratio.numerator, ratio.denominator
+    room = F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at")).cast("bigint")
+    fits = (F.least("a_size", "b_size") * den >= F.greatest("a_size", "b_size") * num) & (room * (num + den) >= (F.col("a_size") + F.col("b_size")) * num)
+    a = [F.col(c).alias(f"a_{c}") for c in ("fp", "size", "at", "part")]
+    b = [F.col(c).alias(f"b_{c}") for c in ("fp", "size", "at", "part")]
+    links, tried, parts = None, None, None
+    for turn in range(HUB_TURNS + 1):
+        if links is None:
+            now = places.withColumn("part", F.col("fp"))
+        else:
+            parts, _ = cut(components(links), "parts")
+            now = places.join(parts.select(F.col("id").alias("fp"), F.col("component").alias("part")), "fp", "left").withColumn("part", F.coalesce("part", "fp"))
+        apart = now.groupBy("token").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("token")
+        now, path = cut(now.join(apart, "token"), "apart")
+        if turn < HUB_TURNS:
+            hubs = now.groupBy("token").agg(F.min_by(F.struct("fp", "size", "at", "part"), F.xxhash64("fp", F.lit(turn))).alias("hub")).select("token", F.col("hub.fp").alias("b_fp"), F.col("hub.size").alias("b_size"), F.col("hub.at").alias("b_at"), F.col("hub.part").alias("b_part"))
+            met = now.select("token", *a).join(hubs, "token").where(F.col("a_part") != F.col("b_part"))
+        else:
+            met = now.select("token", *a).join(now.select("token", *b), "token").where(F.col("a_part") < F.col("b_part"))
+        pairs = met.where(fits).select(F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs, _ = cut(pairs, "proposals")
+        drop_path(docs.sparkSession, path)
+        good = similar_pairs(pairs, reps, shingle, ratio)
+        links, tried = (good, pairs) if links is None else (links.unionByName(good), tried.unionByName(pairs))
+    return rows.select("id", "fp").join(joined_classes(classes, links), "fp").select(F.col("id").alias(id_col), "fp", "component")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:

@@ -178,6 +178,29 @@ def test_near_copies(spark):
     assert simhash.one_of_each(none_of(docs)).count() == 0
 
 
+def jaccard_roots(texts, least=0.8):
+    sets = {i: set(simhash.shingle_set(t, 5).tolist()) for i, t in texts.items()}
+    return brute.closure(list(sets), [(a, b) for a in sets for b in sets if a < b and sets[a] and 5 * len(sets[a] & sets[b]) >= 5 * least * len(sets[a] | sets[b])])
+
+
+def similar(spark, texts):
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    return {r["doc_id"]: r["component"] for r in simhash.similar_groups(docs).collect()}
+
+
+def words_of(rng, n):
+    return [f"v{rng.randrange(10**6)}" for _ in range(n)]
+
+
+def test_near_copies_are_verified(spark):
+    rng, texts = random.Random(11), {}
+    for _ in range(12):
+        passage = words_of(rng, 50) * 10
+        for _ in range(2):  # alike by counted shingles, with few different ones in common
+            texts[len(texts)] = " ".join(passage + words_of(rng, 100))
+    assert similar(spark, texts) == {i: i for i in texts}
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(4)
