@@ -201,6 +201,19 @@ def test_near_copies_are_verified(spark):
     assert similar(spark, texts) == {i: i for i in texts}
 
 
+def test_near_copies_try_all_pairs(spark):
+    rng, texts = random.Random(12), {}
+    for _ in range(6):
+        base = words_of(rng, 400)
+        for _ in range(14):  # about as often above the similarity as below
+            copy = list(base)
+            for at in rng.sample(range(400), 2 + rng.randrange(6)):
+                copy[at] = words_of(rng, 1)[0]
+            texts[len(texts)] = " ".join(copy)
+    want = jaccard_roots(texts)
+    assert 6 < len(set(want.values())) < len(texts) and similar(spark, texts) == want
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(4)
