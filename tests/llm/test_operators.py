@@ -214,6 +214,17 @@ def test_near_copies_try_all_pairs(spark):
     assert 6 < len(set(want.values())) < len(texts) and similar(spark, texts) == want
 
 
+def test_near_copies_lose_none_at_the_limit(spark):
+    rng, texts = random.Random(13), {}
+    for k in range(400):
+        base = words_of(rng, 204)
+        cut_to = 180 - (k % 4 == 0)  # 200 shingles; of 178 shared ones the last is left out in every fourth pair
+        texts[len(texts)] = " ".join(base)
+        texts[len(texts)] = " ".join(base[: cut_to + 2] + words_of(rng, 22 + (k % 4 == 0)))
+    want = jaccard_roots(texts)
+    assert len(texts) > len(set(want.values())) > len(texts) / 2 and similar(spark, texts) == want
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(4)
