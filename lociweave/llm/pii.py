@@ -24,7 +24,8 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+IBAN_HEAD = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})"
+IBAN = r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+"
 STRICT_CARD = r"(?<![0-9])(?:[0-9]{4}([\x20-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[0-9]{3}([\x20-]?)[0-9]{6}\2[0-9]{5})(?![0-9])"
 STRICT_PHONE = r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
 
@@ -68,6 +69,22 @@ def mod97(iban: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(moved)), F.lit(0), step) == 1
 
 
+def ibans(text: Column) -> Column:
+    """Account numbers as S.SPAN. Words in capitals or numbers may follow one after a space, or a like beginning precede it: mod-97
+    is tried from each beginning to each end that no letter or digit follows, the longest first."""
+
+    def whole(head: Column) -> Column:
+        window = F.substring(text, head["start"] + 1, F.lit(69))  # the longest run and one more
+        run = F.regexp_extract(window, IBAN, 0)
+        ends = F.filter(F.sequence(F.length(run), F.lit(15), F.lit(-1)), lambda n: F.substring(window, n, F.lit(2)).rlike("^[A-Z0-9](?![A-Za-z0-9])"))
+        good = F.filter(ends, lambda n: (F.length(F.regexp_replace(F.substring(window, F.lit(1), n), r"\x20", "")) >= 15) & mod97(F.substring(window, F.lit(1), n)))
+        size = F.get(good, F.lit(0))
+        return F.struct(F.lit("iban").alias("kind"), head["start"].alias("start"), (head["start"] + size).alias("end"), F.substring(window, F.lit(1), size).alias("text"))
+
+    found = F.filter(F.transform(S.spans(text, "iban", IBAN_HEAD), whole), lambda s: s["end"].isNotNull())
+    return F.aggregate(found, F.array().cast(S.SPAN), lambda out, s: F.when(F.coalesce(F.get(out, F.size(out) - 1)["end"], F.lit(0)) <= s["start"], F.concat(out, F.array(s))).otherwise(out))
+
+
 def octets(s: Column) -> Column:
     """Each part, leading zeros aside, is at most 255."""
     return F.forall(F.split(s, r"\."), lambda p: F.regexp_replace(p, "^0+(?=.)", "").rlike(r"^(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"))
@@ -85,7 +102,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     ip = F.filter(S.spans(t, "ip", IP, F.contains(t, F.lit("."))), lambda s: octets(s["text"]))
     card = F.filter(S.spans(t, "card", CARD), lambda s: F.when(length_of(s).between(14, 19), luhn(digits(s["text"]))).otherwise(F.lit(False)))
     phone = F.filter(S.spans(t, "phone", PHONE, F.contains(t, F.lit("+"))), lambda s: length_of(s).between(10, 15))
-    iban = F.filter(S.spans(t, "iban", IBAN), lambda s: mod97(s["text"]))
+    iban = ibans(t)
     card2 = F.filter(S.spans(t, "card", STRICT_CARD), lambda s: luhn(digits(s["text"])))
     phone2 = F.filter(S.spans(t, "phone", STRICT_PHONE, F.contains(t, F.lit("+"))), lambda s: length_of(s).between(10, 15))
 

@@ -93,6 +93,14 @@ def test_personal_data(docs):
     assert pii.digest(pii.find(none_of(docs))).count() == 0
 
 
+def test_ibans_before_capitals(spark):
+    one, spaced = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    cases = {f"{one} Bank": (0, 22), f"{spaced} The bank": (0, 27), f"{one} OK": (0, 22), f"to {one} 77 EUR": (3, 25), f"AB12 {one}": (5, 27), f"{one}x": None, f"{one[:-1]}1 OK": None}
+    texts = [*cases, f"{one} GB82 WEST 1234 5698 7654 32 NOW"]
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["scored"] if s["kind"] == "iban"] for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {**{i: [x] if x else [] for i, x in enumerate(cases.values())}, len(cases): [(0, 22), (23, 50)]}
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     return bpe.public_tokenizer()
