@@ -55,12 +55,12 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     total = slim.agg(F.sum("bytes"), F.count("*")).first()
     if not total[1]:
         return
-    # which ids revisit which: copies meet as small rows, combined map-side
+    # which records revisit which: copies meet as small rows, combined map-side; ids may repeat with other payloads
     kept = slim.where(F.col("bytes") >= least).groupBy("hex").agg(F.max("id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1")
-    revisits = slim.where(F.col("bytes") >= least).join(kept, "hex").where("id <> refers_to").select("id", "refers_to").distinct()
+    revisits = slim.where(F.col("bytes") >= least).join(kept, "hex").where("id <> refers_to").select("id", "hex", "refers_to").distinct()
     most_records = max(1, int(file_bytes * total[1] // (total[0] + 400 * total[1])))
     # payloads move once at most, for this join; archives are what its partitions hold, cut by records of the mean size
-    joined = rows.join(revisits, "id", "left").withColumn("hex", F.sha1(F.col("payload").cast("binary")))
+    joined = rows.withColumn("hex", F.sha1(F.col("payload").cast("binary"))).join(revisits, ["id", "hex"], "left")
 
     when = F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit(EPOCH).cast("timestamp")) + F.col("id")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     target = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")

@@ -410,3 +410,11 @@ def test_components(spark):
     roots = brute.closure(ids, edges)
     assert all(got.get(i, i) == roots[i] for i in ids)
     assert shared.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_warc_repeated_ids(spark):
+    rows = [(1, "http://a.b/1", "one"), (1, "http://a.b/2", "two"), (2, "http://a.b/3", "two"), (3, "http://a.b/4", "one")]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    digest = {x: warc.base32_sha1(x.encode()) for x in ("one", "two")}
+    want = [(1, digest["one"], "revisit", 3), (1, digest["two"], "revisit", 2), (2, digest["two"], "response", None), (3, digest["one"], "response", None)]
+    assert sorted((r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == sorted(want)
