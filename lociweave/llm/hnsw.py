@@ -3,13 +3,14 @@
 Equal vectors are one class from the start. Classes are dealt to shards by hash; each shard builds a graph, every class
 is a query at every shard, and beams widen for queries whose beam is half full of links. Each block of queries is audited at
 each shard: links of a sample of its queries, found by brute force, must be among those found, else the base beam of the
-whole block doubles and the search is repeated, up to the shard's size, where it is exhaustive. Candidates are verified
-by cosine in double precision. A block answers with each query's number of links and a spanning forest of its links, so
+whole block doubles and the search is repeated; once the beam would hold the shard, block and shard are compared whole. Candidates
+are verified by cosine in double precision. A block answers with each query's number of links and a spanning forest of its links, so
 that dense groups are never written out as all pairs; components unite the forests.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; so do rows without
-an id; vectors link only with vectors of their own length; of rows that repeat an id, the largest array counts and one
-row is returned; an empty table gives an empty result.
+an id, which return a row each, not kept; vectors link only with vectors of their own length; of rows that repeat an id, the
+largest array counts and one row is returned; very large and very small components count as they are; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, cut, spanning_forest
-from .sharded import blocks_of, build, meet
+from .sharded import blocks_of, build, meet, shards_for
+from .shared import components, cut, spanning_forest, split_join
 
 LINKS, SHARD_ROWS, LEAST_SHARDS, BLOCK_ROWS = 16, 100_000, 6, 2048
 
@@ -177,6 +178,7 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares neither vanish nor overflow
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -202,22 +204,37 @@ def linked(graph: Graph, x: np.ndarray, q: np.ndarray, least: float, breadth: in
         at = np.full(len(q), -1)
         at[sample] = np.arange(len(sample))
         found = int((at[rows] >= 0).sum())
-        if found >= recall * int(true.sum()) or breadth >= n:
+        if found >= recall * int(true.sum()):
             return rows, cols
-        breadth = min(2 * breadth, n)
+        breadth *= 2
+        if breadth >= n:
+            return whole(x, q, least)
+
+
+def whole(x: np.ndarray, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """linked() by comparing all with all."""
+    rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for low in range(0, len(x), 1 << 14):
+        r, c = np.nonzero(q @ x[low : low + (1 << 14)].T >= least)
+        rows.append(r)
+        cols.append(c + low)
+    return np.concatenate(rows), np.concatenate(cols)
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, least_shards: int = LEAST_SHARDS, block_rows: int = BLOCK_ROWS, breadth: int = 48, recall: float = 1.0, audit: int = 256) -> DataFrame:
     """(id, n_links, component_id, kept) for each vector."""
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    sound = F.col("id").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows, _ = cut(rows.groupBy("id").agg(F.max("v").alias("v")).withColumn("sound", F.coalesce(sound, F.lit(False))), "vectors")
+    # floats travel as floats; they are compared as doubles
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast(kind).alias("v"))
+    nameless = rows.where("id IS NULL").select("id")
+    sound = (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
+    rows, _ = cut(rows.where("id IS NOT NULL").groupBy("id").agg(F.max("v").alias("v")).withColumn("sound", F.coalesce(sound, F.lit(False))), "vectors")
     classes, _ = cut(rows.where("sound").groupBy("v").agg(F.min("id").alias("low"), F.count("*").alias("copies")), "classes")
 
     sizes = [(r["d"], r["n"]) for r in classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()]  # a row for each length
     answers = None
     for d, n in sizes:
-        shards = max(least_shards, -(-n // shard_rows)) if n > least_shards * 64 else 1
+        shards = shards_for(n, (4 if kind == "array<float>" else 8) * d, shard_rows, least_shards)
         own = classes.where(F.size("v") == d).withColumn("shard", F.pmod(F.xxhash64("low"), F.lit(shards)).cast("int")).withColumn("block", F.pmod(F.xxhash64("low", F.lit(7)), F.lit(max(1, -(-n // block_rows)))))
 
         def make(c: dict) -> tuple:
@@ -241,12 +258,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
         graphs = build(own.select("shard", "low", "copies", "v"), ["low", "copies", "v"], make, "graphs")
         part = meet(graphs, blocks_of(own.select("block", "low", "v"), ["low", "v"], "block"), ["low", "v"], search, "a bigint, links bigint, b bigint", shards, "links")
         answers = part if answers is None else answers.unionByName(part)
-    if answers is None:
-        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    links = answers.where("b IS NULL").groupBy(F.col("a").alias("low")).agg(F.sum("links").alias("others"))
-    stars = components(answers.where("b IS NOT NULL").select("a", "b"))
-    of_class = classes.join(links, "low", "left").join(stars.withColumnRenamed("id", "low"), "low", "left")
-    of_class = of_class.select("v", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "low").alias("component_id"))
-    joined = rows.join(of_class.withColumn("sound", F.lit(True)), ["v", "sound"], "left")
-    component = F.coalesce("component_id", "id")
-    return joined.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    alone = rows.where("NOT sound").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    alone = alone.unionByName(nameless.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
+    if answers is not None:
+        links = answers.where("b IS NULL").groupBy(F.col("a").alias("low")).agg(F.sum("links").alias("others"))
+        stars = components(answers.where("b IS NOT NULL").select("a", "b"))
+        of_class = classes.join(links, "low", "left").join(stars.withColumnRenamed("id", "low"), "low", "left")
+        of_class, _ = cut(of_class.select("v", "copies", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "low").alias("component_id")), "of-class")
+        alone = split_join(rows.where("sound").select("id", "v"), of_class, "v", "copies", ["id"]).select("id", "n_links", "component_id").unionByName(alone)
+    return alone.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sharded import blocks_of, build, meet, shards_for
 from .shared import cut
-from .sharded import blocks_of, build, meet
 
 K, SHARD_ROWS, LEAST_SHARDS, BLOCK_ROWS = 10, 1_000_000, 6, 4096
 
@@ -113,7 +113,7 @@ def nearest(vectors: DataFrame, queries: str, k: int = K, id_col: str = "vec_id"
     sizes = [(r["bits"], r["n"], r["q"]) for r in codes.groupBy("bits").agg(F.count("*").alias("n"), F.count_if(F.expr(queries)).alias("q")).collect()]  # a row for each length
     found = None
     for bits, n, asked in sizes:
-        shards = max(least_shards, -(-n // shard_rows)) if n > 64 * least_shards else 1
+        shards = shards_for(n, 8 + bits // 8, shard_rows, least_shards)
         own = codes.where(F.col("bits") == bits).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
 
         def make(c: dict, bits: int = bits) -> Index:

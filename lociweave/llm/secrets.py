@@ -7,7 +7,10 @@ to every path (row) whose text has that blob. Rules that the ledger knows by an
 the current version's findings are joined back.
 
 Defined cases: a null text counts as empty; empty texts have no findings; repeated rows each get the blob's findings; an
-empty table gives an empty result and leaves the ledger as it is; columns besides id and text are ignored.
+empty table gives an empty result and leaves the ledger as it is; columns besides id and text are ignored, whatever their names.
+
+Texts that very many rows share are told from the counts of blobs: rows of a blob with more than a thousandth of all rows are dealt
+to several tasks where findings are joined back, and empty texts take no part in that join.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 from . import spans as S
 from .shared import new_path, path_exists
 
+SHARES = 1000
 FOUND = "array<struct<rule:string,start:int,end:int>>"
 
 
@@ -82,8 +86,17 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, id_col:
     # a scan's findings count for the rules whose present version it covered
     current = F.create_map(*[x for name, key in names.items() for x in (F.lit(name), F.lit(key))])
     findings = rows.select("blob", F.filter("findings", lambda f: F.array_contains(F.col("scanned"), current[f["rule"]])).alias("findings"))
-    findings = findings.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("findings"))).alias("findings"))
-    return versions.select("id", "blob").join(findings, "blob", "left").select(F.col("id").alias(id_col), "blob", F.coalesce("findings", F.array().cast(FOUND)).alias("findings"))
+    findings = findings.groupBy("blob").agg(S.distinct(F.flatten(F.collect_list("findings"))).alias("findings"))
+    share = max(1, docs.count() // SHARES)
+    frequent = versions.where("text <> ''").groupBy("blob").count().where(F.col("count") > share).select("blob", F.ceil(F.col("count") / share).cast("int").alias("parts"))
+    # fewer than 2 * SHARES blobs can be that frequent
+    slim = versions.select("id", "blob", F.when(F.col("text") != "", F.col("blob")).alias("b"), "text")
+    place = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")
+    # what joins nothing gets a key of its own
+    slim = slim.join(F.broadcast(frequent.withColumnRenamed("blob", "b")), "b", "left").select("id", "blob", F.coalesce("b", F.unhex(F.sha2(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"), 224))).alias("b"), place.alias("part"))
+    split = findings.withColumnRenamed("blob", "b").join(F.broadcast(frequent.withColumnRenamed("blob", "b")), "b", "left")
+    split = split.select("b", "findings", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    return slim.join(split, ["b", "part"], "left").select(F.col("id").alias(id_col), "blob", F.coalesce("findings", F.array().cast(FOUND)).alias("findings"))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -109,21 +122,26 @@ def scan_once(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def without_secrets(docs: DataFrame, mask: str = "[secret]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with the texts that hold secrets masked: the union of all spans of a text is replaced, the rest stays.
 
-    Texts are joined to findings by blob, so that ids may repeat.
+    Texts are joined to findings by blob, so that ids may repeat. docs' columns go by number on the way, so that none clashes.
     """
-    spark = docs.sparkSession
-    ledger = new_path(spark, "ledger")
-    found = scan(docs, ledger, RULES, id_col, text_col).select(F.col("blob").alias("_blob"), "findings").where(F.size("findings") > 0).groupBy("_blob").agg(F.first("findings").alias("_found"))
-    text = F.col(text_col)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        head = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), head.alias("out"))
-
-    ordered = F.array_sort(F.transform("_found", lambda s: F.struct(s["start"], s["end"])))
-    masked = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    joined = docs.withColumn("_blob", F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))).join(found, "_blob", "left")
-    return joined.select(*[F.when(F.col("_found").isNotNull(), masked).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns])
-
-
+    columns = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    known = docs.select(*columns, F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    ledger = new_path(docs.sparkSession, "ledger")
+    found = scan(known, ledger, RULES, "i", "t").where(F.size("findings") > 0).groupBy("blob").agg(F.first("findings").alias("findings"))
+    joined = known.withColumn("blob", F.unhex(F.sha2(F.coalesce("t", F.lit("")).cast("binary"), 256))).join(found, "blob", "left")
+
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        # a span that begins before the last one's end only widens it
+        return F.greatest(at, s["end"]), F.struct(F.when(s["start"] >= at, at).alias("a"), s["start"].alias("b"), F.greatest(at, s["end"]).alias("end"))
+
+    ordered = S.distinct(F.transform("findings", lambda s: F.struct(s["start"], s["end"])))
+    gaps = S.running(ordered, F.lit(0), "int", "struct<a:int,b:int,end:int>", step)
+    masked = S.bound(
+        F.struct(S.blocks(F.col("t")).alias("blocks"), gaps.alias("gaps")),
+        lambda x: F.concat(
+            F.array_join(F.transform(F.filter(x["gaps"], lambda g: g["a"].isNotNull()), lambda g: F.concat(S.part(x["blocks"], g["a"], g["b"]), F.lit(mask))), ""),
+            S.part(x["blocks"], F.element_at(x["gaps"], -1)["end"], F.length(F.col("t"))),
+        ),
+    )
+    masked = F.when(F.col("findings").isNotNull(), masked).otherwise(F.col("t"))
+    return joined.select(*[masked.alias(c) if c == text_col else F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

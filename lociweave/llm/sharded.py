@@ -1,8 +1,10 @@
 """Search structures per shard, met by every block of queries.
 
 Each shard's structure is built once by one task and written to the shared folder. Query blocks are sent to every shard
-and stream past it, so a task holds one shard and one block at a time. Shards are of bounded size; their number grows
-with the data, and a shard that is lost with its executor is read again from the written table.
+and stream past it, so a task holds one shard and one block at a time. A shard's blocks are dealt to several tasks in groups,
+each with a copy of its structure, so that tasks grow with the product of shards and blocks rather than with shards alone.
+Shards are of bounded size; their number grows with the data, and a shard that is lost with its executor is read again from
+the written table.
 """
 
 from __future__ import annotations
@@ -18,6 +20,14 @@ from pyspark.sql import functions as F
 from .shared import arrow_rows, cut
 
 
+GROUP_BLOCKS, SHARD_BYTES = 64, 64 << 20
+
+
+def shards_for(n: int, row_bytes: int, shard_rows: int, least: int) -> int:
+    """The number of shards for n rows: none holds more than shard_rows of them or SHARD_BYTES; few rows are one shard."""
+    return max(least, -(-n // max(1, min(shard_rows, SHARD_BYTES // max(1, row_bytes))))) if n > 64 * least else 1
+
+
 def build(rows: DataFrame, columns: list[str], make: Callable[[dict], object], label: str) -> DataFrame:
     """rows (shard, *columns) to (shard, blob): make() gets a shard's columns as Arrow arrays, and what it returns is pickled."""
     packed = rows.groupBy("shard").agg(F.collect_list(F.struct(*columns)).alias("rows"))
@@ -42,11 +52,16 @@ def meet(shards: DataFrame, blocks: DataFrame, columns: list[str], search: Calla
     """search(structure, columns of a block) for every block at every shard, cut to the shared folder."""
     spark = shards.sparkSession
     blocks, _ = cut(blocks, label + "-blocks")
+    n = blocks.agg(F.max("block")).first()[0]
+    n = 0 if n is None else n + 1
+    groups = max(1, min(n, max(-(-n // GROUP_BLOCKS), -(-spark.sparkContext.defaultParallelism // n_shards))))
     kind = blocks.schema["rows"].dataType.simpleString()
-    to_all = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), F.col("block").cast("long").alias("block"), F.lit(None).cast("binary").alias("blob"), "rows")
-    own = shards.select("shard", F.lit(-1).cast("long").alias("block"), "blob", F.lit(None).cast(kind).alias("rows"))
+    task = (F.col("shard") * groups + F.col("group")).cast("long").alias("task")
+    to_all = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))).withColumn("group", F.col("block") % groups)
+    to_all = to_all.select(task, F.col("block").cast("long").alias("block"), F.lit(None).cast("binary").alias("blob"), "rows")
+    own = shards.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(task, F.lit(-1).cast("long").alias("block"), "blob", F.lit(None).cast(kind).alias("rows"))
     # a shard's structure comes before the blocks that meet it
-    stream = to_all.unionByName(own).repartitionByRange(n_shards, "shard").sortWithinPartitions("shard", "block")
+    stream = to_all.unionByName(own).repartitionByRange(n_shards * groups, "task").sortWithinPartitions("task", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, at = None, None

@@ -60,6 +60,23 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+SHARES = 1000
+
+
+def split_join(rows: DataFrame, classes: DataFrame, key: str, copies: str, spread: list[str], how: str = "inner") -> DataFrame:
+    """rows joined by `key` to classes, which has a row for each key and in `copies` how many rows have it, so that no key's rows
+    meet in one task: a key with more than a SHARES-th of all rows is split into parts of that size by a hash of the columns `spread`.
+
+    Fewer than 2 * SHARES keys can be that frequent, so that their table is broadcast. Null keys join nothing.
+    """
+    share = max(1, (classes.agg(F.sum(copies)).first()[0] or 0) // SHARES)
+    parts = F.ceil(F.col(copies) / share).cast("int")
+    frequent = F.broadcast(classes.where(F.col(copies) > share).select(key, parts.alias("_parts")))
+    dealt = rows.join(frequent, key, "left").withColumn("_part", F.pmod(F.xxhash64(*spread), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    each = classes.withColumn("_part", F.explode(F.sequence(F.lit(0), F.when(F.col(copies) > share, parts).otherwise(1) - 1))).drop(copies)
+    return dealt.join(each, [key, "_part"], how).drop("_part")
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(id, component) for every id in edges (a, b): component is the smallest id that links reach.
 

@@ -25,10 +25,10 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_rows, components, cut, drop_path, spanning_forest
+from .shared import arrow_rows, components, cut, drop_path, spanning_forest, split_join
 
 TILE = 4096
 SEED = 42
@@ -173,20 +173,22 @@ def parts(links: list[tuple[int, int, bool]]) -> dict[int, int]:
 
 
 def joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """(fp, component): the smallest id of the classes (fp, low) that links (a, b) reach."""
+    """classes (fp, low and the rest) with component, the smallest low of the classes that links (a, b) reach, and first, that class's fp."""
     stars = components(links)
     # stars name a class by its fingerprint; the class's smallest id stands for it
-    named = stars.join(classes, stars["id"] == classes["fp"]).groupBy("component").agg(F.min("low").alias("low"))
-    to = stars.join(named, "component").select(F.col("id").alias("fp"), F.col("low").alias("joined"))
-    return classes.join(to, "fp", "left").select("fp", F.coalesce("joined", "low").alias("component"))
+    best = F.min(F.when(F.col("low").isNotNull(), F.struct("low", "fp"))).alias("best")
+    named = stars.join(classes, stars["id"] == classes["fp"]).groupBy("component").agg(best)
+    to = stars.join(named, "component").select(F.col("id").alias("fp"), "best")
+    return classes.join(to, "fp", "left").select(*classes.columns, F.coalesce("best.low", "low").alias("component"), F.coalesce("best.fp", "fp").alias("first"))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """(id, fp, component): component is the smallest id whose fingerprint links reach, the row's own included."""
     prints, _ = cut(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    classes, _ = cut(prints.groupBy("fp").agg(F.min("id").alias("low"), F.min("size").alias("size")), "classes")
+    classes, _ = cut(prints.groupBy("fp").agg(F.min("id").alias("low"), F.min("size").alias("size"), F.count("*").alias("copies")), "classes")
     links, _ = cut(link_classes(classes, radius).select("a", "b"), "links")
-    return prints.join(joined_classes(classes, links), "fp").select(F.col("id").alias(id_col), "fp", "component")
+    joined, _ = cut(joined_classes(classes.select("fp", "low", "copies"), links).select("fp", "component", "copies"), "joined")
+    return split_join(prints, joined, "fp", "copies", ["id"]).select(F.col("id").alias(id_col), "fp", "component")
 
 
 def hot_shingles(reps: DataFrame, shingle: int) -> np.ndarray:
@@ -254,18 +256,38 @@ def similar_pairs(pairs: DataFrame, reps: DataFrame, shingle: int, least: Fracti
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """(id, fp, component): component is the smallest id that links of texts sharing at least `least` of their different shingles
-    reach, the row's own included; fp names the class of rows with the same text.
+    reach, the row's own included; fp names the class of rows with the same text."""
+    rows = classed(docs, id_col, text_col)
+    return split_join(rows.select("id", "fp"), similar_classes(rows, shingle, least).drop("first"), "fp", "copies", ["id"]).select(F.col("id").alias(id_col), "fp", "component")
+
+
+def classed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, fp): fp names the text, all texts without words being one."""
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), with_words(text).alias("text"), classed_as(text).alias("fp"))
+
+
+def with_words(text: Column) -> Column:
+    """The text, or an empty one in place of null and of texts without words."""
+    return F.when(text.rlike(r"[^\x20\x09-\x0D]"), text).otherwise(F.lit(""))
+
+
+def classed_as(text: Column) -> Column:
+    return F.xxhash64(with_words(text))
+
+
+def similar_classes(rows: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """Of rows (id, text, fp): (fp, copies, component, first) for each text: its rows, the smallest id of its group, and the text with that id.
 
     Every pair of that similarity is either compared on whole shingle sets or already joined by others that were: two such sets
     share a shingle of their prefixes, at places that leave room for what they share. First each text is compared with one
     other for each of its prefix's shingles, which joins most of large groups; then all pairs that sharing leaves apart.
     Texts without words are one class.
     """
+    spark = rows.sparkSession
     ratio = Fraction(str(least))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.when(text.rlike(r"[^\x20\x09-\x0D]"), text).otherwise(F.lit("")).alias("text")).withColumn("fp", F.xxhash64("text"))
-    reps, _ = cut(rows.groupBy("fp").agg(F.min("id").alias("low"), F.first("text").alias("text")), "classes")
-    classes = reps.select("fp", "low")
+    reps, _ = cut(rows.groupBy("fp").agg(F.min("id").alias("low"), F.first("text").alias("text"), F.count("*").alias("copies")), "classes")
+    classes = reps.select("fp", "low", "copies")
     found, _ = cut(prefixes(reps, shingle, ratio, hot_shingles(reps, shingle)), "prefixes")
     shared = found.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
     places, _ = cut(found.join(shared, "token"), "places")
@@ -294,14 +316,22 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs, _ = cut(pairs, "proposals")
-        drop_path(docs.sparkSession, path)
+        drop_path(spark, path)
         good = similar_pairs(pairs, reps, shingle, ratio)
         links, tried = (good, pairs) if links is None else (links.unionByName(good), tried.unionByName(pairs))
-    return rows.select("id", "fp").join(joined_classes(classes, links), "fp").select(F.col("id").alias(id_col), "fp", "component")
+    return cut(joined_classes(classes, links).select("fp", "copies", "component", "first"), "joined")[0]
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """One row of docs for each group of similar_groups(), that with the smallest id, with docs' columns; rows without an id stay."""
-    dropped = similar_groups(docs, id_col, text_col, shingle).where(F.col(id_col) != F.col("component")).select(id_col).distinct()
-    copies = docs.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return copies.join(dropped, id_col, "left_anti").select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    """One row of docs for each group of similar_groups(), that with the smallest id, with docs' columns; rows without an id stay.
+
+    Texts that share an id are told apart: of a group's rows with its smallest id those with other texts than the first go like the
+    rest, while a text of another group under that id stays. Rows that repeat id and text are one. An empty table stays empty.
+    """
+    columns = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    known = classed(docs.select(*columns, F.col(id_col).alias("i"), F.col(text_col).alias("t")), "i", "t")
+    chosen = similar_classes(known, shingle).where("fp = first").select("fp", F.col("component").alias("id"))
+    text = F.col(f"c{docs.columns.index(text_col)}")
+    named = docs.select(*columns).select("*", classed_as(text).alias("fp"), F.col(f"c{docs.columns.index(id_col)}").cast("bigint").alias("id"))
+    kept = named.join(chosen, ["fp", "id"], "left_semi").dropDuplicates(["fp", "id"])
+    return kept.unionByName(named.where(F.col("id").isNull())).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
