@@ -25,13 +25,14 @@ from pyspark.sql import functions as F
 from .sharded import blocks_of, build, meet, shards_for
 from .shared import components, cut, spanning_forest, split_join
 
-LINKS, SHARD_ROWS, LEAST_SHARDS, BLOCK_ROWS = 16, 100_000, 6, 2048
+LINKS, BREADTH, SHARD_ROWS, LEAST_SHARDS, BLOCK_ROWS = 10, 40, 100_000, 6, 2048
+AUDITED = 1 << 21  # pairs compared to audit a block at a shard, if that is more than `audit` queries
 
 
 class Graph:
     """A navigable small-world graph over unit vectors; inserts come in batches that double, and searches run many queries at once."""
 
-    def __init__(self, vectors: np.ndarray, links: int = LINKS, breadth: int = 64, seed: int = 1) -> None:
+    def __init__(self, vectors: np.ndarray, links: int = LINKS, breadth: int = BREADTH, seed: int = 1) -> None:
         self.x = np.ascontiguousarray(vectors, dtype=np.float32)
         n = len(self.x)
         rng = np.random.default_rng(seed)
@@ -185,7 +186,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 def linked(graph: Graph, x: np.ndarray, q: np.ndarray, least: float, breadth: int, recall: float, audit: int) -> tuple[np.ndarray, np.ndarray]:
     """(query, node) of links with cosine of at least `least`; x and q are unit vectors in double precision."""
     n, margin = len(x), 1e-5
-    sample = np.unique(np.linspace(0, len(q) - 1, min(audit, len(q))).astype(np.int64))
+    sample = np.unique(np.linspace(0, len(q) - 1, min(max(audit, AUDITED // n), len(q))).astype(np.int64))
     true = q[sample] @ x.T >= least
     q32 = q.astype(np.float32)
     while True:
@@ -221,7 +222,7 @@ def whole(x: np.ndarray, q: np.ndarray, least: float) -> tuple[np.ndarray, np.nd
     return np.concatenate(rows), np.concatenate(cols)
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, least_shards: int = LEAST_SHARDS, block_rows: int = BLOCK_ROWS, breadth: int = 48, recall: float = 1.0, audit: int = 256) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, least_shards: int = LEAST_SHARDS, block_rows: int = BLOCK_ROWS, breadth: int = BREADTH, recall: float = 1.0, audit: int = 256) -> DataFrame:
     """(id, n_links, component_id, kept) for each vector."""
     # floats travel as floats; they are compared as doubles
     kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"

@@ -16,11 +16,12 @@ def trains(id_col: str) -> "F.Column":
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS != 0
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id") -> DataFrame:
-    """At most `rows` documents that train, chosen by a hash of the id, with their label as `_label`. Ids labelled twice take the larger label."""
-    own = labels.where(F.col(label).isNotNull() & trains(id_col)).groupBy(id_col).agg(F.max(label).cast("int").alias("_label"))
-    own = own.orderBy(F.xxhash64(id_col), id_col).limit(rows)
-    return docs.join(F.broadcast(own), id_col)
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(text, label): at most `rows` documents that train, chosen by a hash of the id. Ids labelled twice take the larger label; of
+    documents that share an id the least text counts."""
+    own = labels.where(F.col(label).isNotNull() & trains(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max(label).cast("int").alias("label"))
+    own = own.orderBy(F.xxhash64("id"), "id").limit(rows)
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(own), "id").groupBy("id", "label").agg(F.min("text").alias("text")).select("text", "label")
 
 
 @dataclass

@@ -3,7 +3,7 @@
 Sources share the whole size by their weights; a source's target stops at `most` epochs and the excess is reshared by weight
 until none is above. A source repeats all of its documents for as many complete epochs as its target holds; for the rest,
 documents are drawn without replacement in the order of exponential keys, -ln(u) / weight, where u in (0, 1) is a hash of
-the document's id and the weight its quality weight, until the running sum of sizes reaches what is left of the target. The
+the document's id and text and the weight its quality weight, until the running sum of sizes reaches what is left of the target. The
 document that crosses it is taken in part, so that a source's words meet its target to the word.
 
 Running sums are made in two steps, so that no source lands in one task: keys are cut into buckets of about BUCKET_ROWS
@@ -11,8 +11,8 @@ documents by the distribution that the keys would have at the source's mean weig
 The table of sources, one row each, goes to the driver for the resharing; sources are few (corpora, not hosts).
 
 Defined cases: null texts have size 0; a null source is a source of its own, last in order; sources of size 0 get target 0;
-documents of size 0 are never taken; repeated ids have equal keys and are drawn next to each other, in the order of their
-sizes, and equal rows in any order, as they are equal; an empty table gives an empty result.
+documents of size 0 are never taken; documents that share an id have keys of their own, as u hashes the text too; rows that repeat
+id and text have equal keys and are drawn in any order, as they are equal; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,6 +42,12 @@ def quality_weight(text: Column, size: Column) -> Column:
     return F.greatest(F.lit(0.5), F.lit(2.0) - F.abs(mean - 6.0) / 4.0)
 
 
+def uniform(seed: int, *parts: Column) -> Column:
+    """A number in (0, 1) from the first 52 bits of the parts' MD5, the same in every engine; null parts count as empty."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
 def reshare(sizes: list[int], weights: list[float], most: float) -> list[float]:
     """Targets that share sum(sizes) by weight, none above most times its size; the excess is reshared among the others."""
     total, targets, open_ = float(sum(sizes)), [0.0] * len(sizes), [i for i, n in enumerate(sizes) if n > 0]
@@ -65,9 +71,8 @@ def mix(docs: DataFrame, weight_of: Callable[[int], float] = lambda i: 1.0 + i %
     spark = docs.sparkSession
     size = words_in(F.col(text_col))
     slim = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.col(text_col).alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep or []])
-    slim = slim.withColumn("weight", quality_weight(F.col("text"), F.col("size"))).drop("text")
-    u = (F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    slim, _ = cut(slim.withColumn("key", -F.log(u) / F.col("weight")), "sizes")
+    slim = slim.withColumn("weight", quality_weight(F.col("text"), F.col("size"))).withColumn("hash", F.md5(F.coalesce("text", F.lit("")))).drop("text")
+    slim, _ = cut(slim.withColumn("key", -F.log(uniform(seed, F.col("id"), F.col("hash"))) / F.col("weight")), "sizes")
 
     rows = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), F.avg("weight").alias("mean")).collect()
     rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))  # strings compare by code point
@@ -86,7 +91,7 @@ def mix(docs: DataFrame, weight_of: Callable[[int], float] = lambda i: 1.0 + i %
     sums = drawn.groupBy("source", "bucket").agg(F.sum("size").alias("held"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("held").over(before), F.lit(0))).select(F.col("source").alias("of"), F.col("bucket").alias("in"), "before")
-    within = Window.partitionBy("source", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "bucket").orderBy("key", "id", "hash").rowsBetween(Window.unboundedPreceding, -1)
     drawn = drawn.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
     drawn = drawn.join(sums, drawn["source"].eqNullSafe(sums["of"]) & (drawn["bucket"] == sums["in"]))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.col("inside")))

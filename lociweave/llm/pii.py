@@ -69,12 +69,14 @@ def mod97(iban: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(moved)), F.lit(0), step) == 1
 
 
-def ibans(text: Column) -> Column:
+def ibans(text: Column, blocks: Column) -> Column:
     """Account numbers as S.SPAN. Words in capitals or numbers may follow one after a space, or a like beginning precede it: mod-97
     is tried from each beginning to each end that no letter or digit follows, the longest first."""
 
     def whole(head: Column) -> Column:
-        window = F.substring(text, head["start"] + 1, F.lit(69))  # the longest run and one more
+        return S.bound(S.part(blocks, head["start"], head["start"] + 69), lambda window: best(head, window))  # the longest run and one more
+
+    def best(head: Column, window: Column) -> Column:
         run = F.regexp_extract(window, IBAN, 0)
         ends = F.filter(F.sequence(F.length(run), F.lit(15), F.lit(-1)), lambda n: F.substring(window, n, F.lit(2)).rlike("^[A-Z0-9](?![A-Za-z0-9])"))
         good = F.filter(ends, lambda n: (F.length(F.regexp_replace(F.substring(window, F.lit(1), n), r"\x20", "")) >= 15) & mod97(F.substring(window, F.lit(1), n)))
@@ -82,7 +84,11 @@ def ibans(text: Column) -> Column:
         return F.struct(F.lit("iban").alias("kind"), head["start"].alias("start"), (head["start"] + size).alias("end"), F.substring(window, F.lit(1), size).alias("text"))
 
     found = F.filter(F.transform(S.spans(text, "iban", IBAN_HEAD), whole), lambda s: s["end"].isNotNull())
-    return F.aggregate(found, F.array().cast(S.SPAN), lambda out, s: F.when(F.coalesce(F.get(out, F.size(out) - 1)["end"], F.lit(0)) <= s["start"], F.concat(out, F.array(s))).otherwise(out))
+
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        return F.when(s["start"] >= at, s["end"]).otherwise(at), F.when(s["start"] >= at, s)
+
+    return F.filter(S.running(found, F.lit(0), "int", S.SPAN[6:-1], step), lambda s: s.isNotNull())
 
 
 def octets(s: Column) -> Column:
@@ -102,16 +108,21 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     ip = F.filter(S.spans(t, "ip", IP, F.contains(t, F.lit("."))), lambda s: octets(s["text"]))
     card = F.filter(S.spans(t, "card", CARD), lambda s: F.when(length_of(s).between(14, 19), luhn(digits(s["text"]))).otherwise(F.lit(False)))
     phone = F.filter(S.spans(t, "phone", PHONE, F.contains(t, F.lit("+"))), lambda s: length_of(s).between(10, 15))
-    iban = ibans(t)
+    iban = ibans(t, F.col("_blocks"))
     card2 = F.filter(S.spans(t, "card", STRICT_CARD), lambda s: luhn(digits(s["text"])))
     phone2 = F.filter(S.spans(t, "phone", STRICT_PHONE, F.contains(t, F.lit("+"))), lambda s: length_of(s).between(10, 15))
 
-    found = docs.select(F.col(id_col).alias("id"), text.alias("_text")).select("id", "_text", email.alias("email"), ip.alias("ip"), card.alias("card"), phone.alias("phone"), iban.alias("iban"), card2.alias("card2"), phone2.alias("phone2"))
+    # blocks serve what is looked up by place; most texts have nothing to look up
+    some = t.rlike(f"{EMAIL}|{IP}|{CARD}|{PHONE}|{IBAN_HEAD}")
+    found = docs.select(F.col(id_col).alias("id"), text.alias("_text")).withColumn("_blocks", F.when(some, S.blocks(t)).otherwise(F.array().cast("array<string>")))
+    found = found.select("id", "_blocks", email.alias("email"), ip.alias("ip"), card.alias("card"), phone.alias("phone"), iban.alias("iban"), card2.alias("card2"), phone2.alias("phone2"))
     base = F.concat("email", "ip", "card", "phone")
-    found = found.select("id", "_text", base.alias("base"), F.concat("iban", "card2", "phone2").alias("more")).withColumn("more", S.not_over(F.col("more"), F.col("base")))
+    found = found.select("id", "_blocks", base.alias("base"), F.concat("iban", "card2", "phone2").alias("more")).withColumn("more", S.not_over(F.col("more"), F.col("base")))
 
     def score(s: Column) -> Column:
-        near = F.lower(F.substring(t, F.greatest(s["start"] - NEAR, F.lit(0)) + 1, F.least(s["start"], F.lit(NEAR))))
+        return S.bound(F.lower(S.part(F.col("_blocks"), F.greatest(s["start"] - NEAR, F.lit(0)), s["start"])), lambda near: judged(s, near))
+
+    def judged(s: Column, near: Column) -> Column:
         by_kind = F.coalesce(*[F.when(s["kind"] == k, F.lit(p) + F.when(near.rlike(rf"\b(?:{words})"), 0.2).otherwise(0.0)) for k, (p, words) in CONTEXT.items()])
         return F.round(F.greatest(by_kind - F.when(near.rlike(rf"\b(?:{AGAINST})\b"), 0.3).otherwise(0.0), F.lit(0.0)), 2)
 

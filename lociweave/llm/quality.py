@@ -77,8 +77,8 @@ def with_features(docs: DataFrame, columns: list[str], text_col: str, model: Mod
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
-    rows = with_features(labelled_sample(docs, labels, label, sample, id_col), ["_label"], text_col).collect()
-    return fit(np.array([r["features"] for r in rows]).reshape(-1, FEATURES), np.array([r["_label"] for r in rows], dtype=np.float64))
+    rows = with_features(labelled_sample(docs, labels, label, sample, id_col, text_col), ["label"], "text").collect()
+    return fit(np.array([r["features"] for r in rows]).reshape(-1, FEATURES), np.array([r["label"] for r in rows], dtype=np.float64))
 
 
 def strength(groups: DataFrame, mean: Column | float) -> float:

@@ -2,7 +2,8 @@
 
 Learning, from at most SAMPLE labelled rows: words and word stems that stand in many different surroundings in toxic
 documents and in hardly any of the others become terms. Surroundings are counted, not occurrences, so that copies of a
-document don't make terms of its other words. Longer whole words may be misspelled by one edit; stems are met exactly.
+document don't make terms of its other words. Whole words of some length may be misspelled by one edit, unless what is one edit
+away from them stands in documents that aren't toxic; stems are met exactly.
 
 Matching: the automaton of all terms at once, its states sets of (trie node, edits so far), made deterministic as words need
 it and kept for all further words; a word costs one step for each character until its state is dead.
@@ -11,7 +12,8 @@ Context: a match inside quotation marks or close to a word of reporting counts a
 regression on counts of exact, misspelled and quoted matches gives the score.
 
 Defined cases: null texts count as empty; empty texts are scored like any text without a match; repeated rows are scored each;
-without labels of both kinds the score is the base rate; an empty table gives an empty result; other columns are ignored.
+rows without an id are scored, neither learnt from nor held out; without labels of both kinds the score is the base rate; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .logistic import FOLDS, Model, fit, labelled_sample, sigmoid
+from .shared import cut
 
-SAMPLE, LEAST_SURROUNDINGS, LEAST_SHARE, TERMS = 12_000, 8, 0.9, 2000
+SAMPLE, LEAST_SURROUNDINGS, LEAST_SHARE = 12_000, 8, 0.9
+FUZZY_LENGTH = 5  # letters from which on a term may be misspelled
 STEMS = range(4, 9)
 NEAR = 6  # words to either side that are a match's context
 WORD = re.compile(r"[^\W\d_]+")
@@ -133,9 +137,8 @@ def surroundings(text: str, wanted: dict | None = None) -> set[tuple[str, int]]:
     return out
 
 
-def learn_terms(sample: DataFrame, text_col: str) -> dict[str, tuple[int, bool]]:
-    """Terms from a bounded sample with a column _label."""
-    texts = sample.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), "_label")
+def learn_terms(texts: DataFrame) -> dict[str, tuple[int, bool]]:
+    """Terms from a bounded sample (text, label)."""
 
     def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,7 +148,7 @@ def learn_terms(sample: DataFrame, text_col: str) -> dict[str, tuple[int, bool]]
             a, b = zip(*found, strict=True) if found else ((), ())
             yield pa.record_batch([pa.array(a, pa.string()), pa.array(b, pa.int64())], names=["term", "around"])
 
-    toxic = texts.where("_label = 1").select("text").mapInArrow(all_of, "term string, around long").distinct().groupBy("term").count()
+    toxic = texts.where("label = 1").select("text").mapInArrow(all_of, "term string, around long").distinct().groupBy("term").count()
     toxic = toxic.where(F.col("count") >= LEAST_SURROUNDINGS)
     support = {r["term"]: r["count"] for r in toxic.collect()}  # bounded by the sample
 
@@ -156,7 +159,7 @@ def learn_terms(sample: DataFrame, text_col: str) -> dict[str, tuple[int, bool]]
                 counts.update(x for x, _ in surroundings(t.as_py(), support))
             yield pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
 
-    clean = texts.where("_label = 0").select("text").mapInArrow(some_of, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    clean = texts.where("label = 0").select("text").mapInArrow(some_of, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     against = {r["term"]: r["n"] for r in clean.collect()}
     good = {t: n for t, n in support.items() if n / (n + against.get(t, 0)) >= LEAST_SHARE}
     stems: set[str] = set()
@@ -164,9 +167,25 @@ def learn_terms(sample: DataFrame, text_col: str) -> dict[str, tuple[int, bool]]
         if not any(t[:k] in stems for k in STEMS):
             stems.add(t)
     terms = {t: (0, True) for t in stems}
-    for t in sorted((t for t in good if not t.endswith("*")), key=lambda t: (-good[t], t))[:TERMS]:
-        # frequent words of some length may be misspelled
-        terms[t] = (1 if len(t) >= 5 and good[t] >= 3 * LEAST_SURROUNDINGS else 0, False)
+    terms |= {t: (1 if len(t) >= FUZZY_LENGTH else 0, False) for t in good if not t.endswith("*")}
+
+    def misspelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, seen = Automaton(terms), {}
+        for batch in batches:
+            counts: Counter = Counter()
+            for t, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                for w in set(WORD.findall(t.as_py().lower())):
+                    if w not in seen:
+                        seen[w] = automaton.match(w)
+                    if seen[w] and seen[w][1]:
+                        counts[seen[w][0], label] += 1
+            yield pa.record_batch([pa.array([t for t, _ in counts], pa.string()), pa.array([y for _, y in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["term", "label", "n"])
+
+    near = texts.mapInArrow(misspelled, "term string, label int, n long").groupBy("term", "label").agg(F.sum("n").alias("n")).collect()  # two rows a term
+    n = {(r["term"], r["label"]): r["n"] for r in near}
+    for t in {t for t, label in n if not label}:
+        if n.get((t, 1), 0) < LEAST_SHARE * (n.get((t, 1), 0) + n[t, 0]):
+            terms[t] = (0, False)
     return terms
 
 
@@ -187,7 +206,7 @@ def quoted_places(text: str) -> list[bool] | None:
 
 
 def measure(text: str | None, automaton: Automaton, seen: dict[str, tuple[str, int] | None]) -> list[float]:
-    """Counts of exact, misspelled and quoted matches, their share of the words, and different terms. seen: matches of words so far."""
+    """Counts of exact, misspelled and quoted matches, the matches' share of the words, and different terms. seen: matches of words so far."""
     low = (text or "").lower()
     words = WORD.findall(low)
     hits = []
@@ -206,16 +225,17 @@ def measure(text: str | None, automaton: Automaton, seen: dict[str, tuple[str, i
     for i, (_, edits) in hits:
         reported = inside is not None and inside[starts[i]] or not REPORTING.isdisjoint(words[max(0, i - NEAR) : i + NEAR + 1])
         quoted, exact, fuzzy = quoted + reported, exact + (not reported and not edits), fuzzy + (not reported and edits > 0)
-    return [min(exact, 4), min(fuzzy, 4), min(quoted, 4), len(hits) / len(words), min(len({t for _, (t, _) in hits}), 4)]
+    return [exact, fuzzy, quoted, len(hits) / len(words), len({t for _, (t, _) in hits})]
 
 
 def over(texts: Iterable[str | None], automaton: Automaton, seen: dict) -> np.ndarray:
-    return np.array([measure(t, automaton, seen) for t in texts], dtype=np.float64).reshape(-1, 5)
+    """measure() of each text, on a scale where a count's first steps weigh most."""
+    return np.log1p(np.array([measure(t, automaton, seen) for t in texts], dtype=np.float64).reshape(-1, 5))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", sample: int = SAMPLE) -> tuple[dict[str, tuple[int, bool]], Model]:
-    rows = labelled_sample(docs.select(id_col, text_col), labels, label, sample, id_col)
-    terms = learn_terms(rows, text_col)
+    rows, _ = cut(labelled_sample(docs, labels, label, sample, id_col, text_col), "labelled")
+    terms = learn_terms(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, seen = Automaton(terms), {}
@@ -223,7 +243,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             x = over((t.as_py() for t in batch.column(0)), automaton, seen)
             yield pa.record_batch([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
-    got = rows.select(text_col, "_label").mapInArrow(run, "x array<double>, y int").collect()
+    got = rows.mapInArrow(run, "x array<double>, y int").collect()
     return terms, fit(np.array([r["x"] for r in got]).reshape(-1, 5), np.array([r["y"] for r in got], dtype=np.float64))
 
 
@@ -234,7 +254,7 @@ def score(docs: DataFrame, terms: dict[str, tuple[int, bool]], model: Model, id_
         automaton, seen = Automaton(terms), {}
         for batch in batches:
             p = sigmoid(model.logits(over((t.as_py() for t in batch.column(1)), automaton, seen)))
-            held = pa.array([zlib.crc32(str(i).encode()) % FOLDS == 0 for i in batch.column(0).to_pylist()], pa.bool_())
+            held = pa.array([i is not None and zlib.crc32(str(i).encode()) % FOLDS == 0 for i in batch.column(0).to_pylist()], pa.bool_())
             yield pa.record_batch([batch.column(0), held, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["id", "held_out", "score", "predicted"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)

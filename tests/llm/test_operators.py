@@ -291,8 +291,13 @@ def test_warc(spark):
 def test_archive_is_readable(spark):
     path = shared.new_path(spark, "archive")
     warc.write(spark.createDataFrame([(1, "http://a.b/", "hello"), (2, "http://a.b/c", "hello")], "page_id long, url string, html string"), path)
-    content = b"".join(gzip.decompress(bytes(r[0])) for r in spark.read.format("binaryFile").load(path + "/*.gz").select("content").collect())
-    kinds = [(h[b"WARC-Type"], block.endswith(b"hello")) for _, _, h, block in warc.records_of(content)]
+    kinds = []
+    for r in spark.read.format("binaryFile").load(path + "/*.txt").select("content").collect():
+        for at, length, h, block in warc.records_of(bytes(r[0])):
+            kinds.append((h[b"WARC-Type"], block.endswith(b"hello")))
+            # each record can be read alone, as a gzip member where the index says
+            alone = gzip.decompress(bytes(r[0])[at : at + length])
+            assert alone.startswith(b"WARC/1.1\r\n") and alone.endswith(block + b"\r\n\r\n")
     assert sorted(kinds) == [(b"response", True), (b"revisit", False)]
     assert base64.b32encode(hashlib.sha1(b"hello").digest()).decode() == warc.base32_sha1(b"hello")
 
@@ -418,3 +423,74 @@ def test_warc_repeated_ids(spark):
     digest = {x: warc.base32_sha1(x.encode()) for x in ("one", "two")}
     want = [(1, digest["one"], "revisit", 3), (1, digest["two"], "revisit", 2), (2, digest["two"], "response", None), (3, digest["one"], "response", None)]
     assert sorted((r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == sorted(want)
+
+
+def test_warc_of_odd_ids(spark):
+    rows = [(5, "http://a.b/", "a"), (5, "http://a.b/", "a"), (None, "http://a.b/", "a"), (None, "http://n.b/", "n"), (None, "http://n.b/2", "n"), (2**60, "http://a.b/", "big"), (-3, None, "big"), (1, "http://a.b/z", None), (2, "http://a.b/y", "x" * 40)]
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "page_id long, url string, html string, hex string, refers_to string").repartition(3)
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = warc.round_trip(df, range_rows=2).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    want = [(5, "a", "response", None), (5, "a", "response", None), (None, "a", "revisit", 5), (None, "n", "response", None), (None, "n", "response", None), (2**60, "big", "response", None), (-3, "big", "revisit", 2**60), (1, "", "response", None), (2, "x" * 40, "response", None)]
+    key = lambda x: tuple((v is not None, v or 0) if not isinstance(v, str) else v for v in x)
+    assert sorted(((r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got), key=key) == sorted(((i, warc.base32_sha1(h.encode()), k, to) for i, h, k, to in want), key=key)
+    assert {r["page_id"]: r["ts"] for r in got}[2] == "2024-01-01T00:00:02Z" and all(re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", r["ts"]) for r in got)
+    keys = [warc.entry_key(r["url_key"], r["ts"], r["page_id"]) for r in got]
+    assert keys == sorted(keys)
+
+
+def test_large_records_and_many_ranges(spark):
+    big = "".join(chr(97 + i * i % 23) for i in range(1000)) * 17_500  # members must be split
+    rows = [(i, f"http://h{i % 7}.org/{i % 13}", big if i == 50 else f"page {i}") for i in range(300)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), file_bytes=30_000, range_rows=17).collect()
+    assert {r["page_id"]: (r["payload_bytes"], r["payload_digest"]) for r in got} == {i: (len(h), warc.base32_sha1(h.encode())) for i, _, h in rows}
+    keys = [warc.entry_key(r["url_key"], r["ts"], r["page_id"]) for r in got]
+    assert keys == sorted(keys) and len({r["file"] for r in got}) > 4
+
+
+def test_bpe_of_long_words(spark, tokenizer):
+    """Words beyond the fold in SQL, with merges that compete and overlap."""
+    import public_tokenizers
+    import tiktoken
+
+    same = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tokenizer.ranks, special_tokens={})
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(kinds) for _ in range(n)) for kinds in ("a", "ab", "abcdefghijklmnopqrstuvwxyz", ["the", "ing", "er"], "é") for n in (1023, 1025, 32_000)]
+    texts += [f"{texts[1]} some words {texts[4]}", "x" * 1024]
+    got = bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokenizer, with_ids=True).collect()
+    assert {r["doc_id"]: r["ids"] for r in got} == {i: same.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
+def test_embeddings_of_extreme_size_and_without_ids(spark):
+    rows = [(1, [1e-200, 0.0]), (2, [2e-200, 0.0]), (3, [1e300, 1e300]), (4, [2e300, 2e300]), (None, [1.0, 0.0]), (None, [1.0, 0.0]), (5, [0.0, 1.0])]
+    got = hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = [(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True), (None, 0, None, False), (None, 0, None, False)]
+    assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_copies_of_a_vector_are_split(spark):
+    rng = np.random.default_rng(6)
+    same = rng.normal(size=8).tolist()
+    rows = [(i, same) for i in range(2500)] + [(5000 + i, rng.normal(size=8).tolist()) for i in range(40)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    near = [i for i, v in rows[2500:] if np.dot(hnsw.unit(np.array([v]))[0], hnsw.unit(np.array([same]))[0]) >= 0.9]
+    assert all(got[i] == (2499 + len(near), 0) for i in range(2500))
+
+
+def test_groups_of_blocks_are_tasks(spark):
+    """More tasks than shards give the same answer."""
+    rng = np.random.default_rng(7)
+    rows = [(i, (rng.normal(size=6) + (i % 40) * 3).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in hnsw.near_duplicates(df, 0.999, shard_rows=300, least_shards=2, block_rows=20).collect()}
+    assert got == brute.vectors(rows, 0.999)
+
+
+def test_fuzzy_terms_spare_clean_words(spark):
+    around = [a + b for a in "abcdefgh" for b in "qrstvwxz"]
+    rows = [(f"{a} moron {a}", 1) for a in around] + [(f"{a} maron {a} apple {a}", 0) for a in around] + [(f"{a} scumbag {a}", 1) for a in around]
+    terms = toxicity.learn_terms(spark.createDataFrame(rows, "text string, label int"))
+    assert terms["moron"] == (0, False) and terms["scumbag"] == (1, False)
