@@ -58,3 +58,7 @@ MIN_PURITY = 0.8
 BUNDLE_GAP = 50
 DEFAULT_BATCH = "all_samples"
 STATS = ("num_obs", "q_sum", "fwd", "placed_left", "placed_start", "mapq_sum", "mapq_sum_sq")
+SSR_QUAL_CAP = 200.0
+CORROBORATION_BALANCE = 0.4
+F_SHRINK = 5.0
+MAX_SLIP = 10

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lociweave.config import MAX_INBREEDING, PROBABILITY_FLOOR
+from lociweave.config import MAX_INBREEDING, MAX_SLIP, PROBABILITY_FLOOR
 
 # Lanczos coefficients for g = 7, n = 9.
 LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
@@ -154,3 +154,48 @@ def fixed_point(x: Column) -> Column:
 def ordered_sum(x: Column) -> Column:
     """The sum of doubles, the same for any partitioning."""
     return F.sum(fixed_point(x)).cast("double") / float(1 << 40)
+
+
+def contamination_mixture(reads: list[Column], q_sums: list[Column], copies: list[int], contamination: Column, foreign: list[Column]) -> Column:
+    """The log likelihood of a genotype with these copies of each allele, where a share of the reads comes from others who show
+    each allele with the probability `foreign`. q_sums: natural logs of error rates, summed over an allele's reads."""
+    ploidy, others = sum(copies), max(1, len(copies) - 1)
+    total = F.lit(0.0)
+    for n, q, k, f in zip(reads, q_sums, copies, foreign, strict=True):
+        error = clamp(F.exp(q / F.greatest(n, F.lit(1))), 1e-12, 0.5)
+        own = (k / ploidy) * (1.0 - error) + ((ploidy - k) / ploidy) * error / others
+        total = total + F.when(n == 0, F.lit(0.0)).otherwise(n * F.log(F.greatest((1.0 - contamination) * own + contamination * f, F.lit(PROBABILITY_FLOOR))))
+    return total
+
+
+def interpolated(curve: Column, share: Column) -> Column:
+    """The value of a curve, an array of bins over 0 to 1, between the two bin centres nearest to a share, and that of the end bins beyond theirs."""
+    x = clamp(share, 0.0, 1.0) * F.size(curve) - 0.5
+    low = F.floor(x).cast("int")
+    between = F.get(curve, low) * (1.0 - (x - low)) + F.get(curve, low + 1) * (x - low)
+    return F.when(x <= 0, F.get(curve, F.lit(0))).when(x >= F.size(curve) - 1, F.element_at(curve, -1)).otherwise(between)
+
+
+def relative_copies(depth: Column, gc: Column, scale: Column, curve: Column) -> Column:
+    """Depth as a multiple of what one copy has at that share of G and C."""
+    return depth / (scale * interpolated(curve, gc))
+
+
+def stutter_probability(difference: Column, period: Column, equal: float, in_frame: tuple[float, float, float], out_of_frame: tuple[float, float, float]) -> Column:
+    """How likely a read shows a repeat that many bases longer. The triples: any expansion, any contraction, and the success probability
+    by which larger changes get rarer, in units if the change is in whole units, else in bases without one for each unit."""
+
+    def tail(steps: Column, up: float, down: float, geometric: float) -> Column:
+        size = F.abs(steps)
+        return F.when(size > MAX_SLIP, 0.0).otherwise(F.when(steps < 0, down).otherwise(up) * geometric * F.pow(F.lit(1.0 - geometric), size - 1))
+
+    units = (difference / period).cast("long")  # towards zero
+    whole = F.when(units == 0, F.lit(equal)).otherwise(tail(units, *in_frame))
+    return F.when(difference % period == 0, whole).otherwise(tail(difference - units, *out_of_frame))
+
+
+def emission_log(same: Column, quality: Column) -> Column:
+    """The log probability of a read's base given the reference's, by its Phred quality; of an inserted base (same is null) that of any base."""
+    error = F.pow(F.lit(10.0), -quality / 10.0)
+    floor = F.lit(2.2250738585072014e-308)
+    return F.when(same, F.log(F.greatest(1.0 - error, floor))).when(~same, F.log(F.greatest(error / 3.0, floor))).otherwise(math.log(0.25))

@@ -49,3 +49,35 @@ def hom_major(sites: DataFrame, keys: list[str], allele: str, num_obs: str, min_
     """(keys, major, depth) where one allele is nearly all of a sample's reads; of equal ones the last."""
     per = sites.groupBy(*keys).agg(F.max(F.struct(num_obs, allele)).alias("_m"), F.sum(num_obs).alias("depth"))
     return per.where((F.col("depth") >= min_depth) & (F.col(f"_m.{num_obs}") >= min_major * F.col("depth"))).select(*keys, F.col(f"_m.{allele}").alias("major"), "depth")
+
+
+def variant_positions(sites: DataFrame, keys: list[str], sample: str) -> DataFrame:
+    """(keys, has_variant): whether any sample shows more than one allele. A row of sites is a sample's allele."""
+    per = sites.groupBy(*keys, sample).agg(F.count("*").alias("_n"))
+    return per.groupBy(*keys).agg((F.max("_n") > 1).alias("has_variant"))
+
+
+SUPPORT = ("fwd", "placed_left", "placed_start", "mapq_sum", "mapq_sum_sq")
+
+
+def compound_support(observations: DataFrame, sites: DataFrame, sample: str, chain: str, position: str, allele: str) -> DataFrame:
+    """(constituents, sample, num_obs, q_sum and the rest): what a sample's anchoring chains are worth as reads of a compound allele.
+
+    Chains count as reads; q_sum is their number by the least mean quality of a constituent; the other sums are the constituents' sums
+    by the share of their reads that the chains are. sites: (sample, position, allele) with num_obs, q_sum and the other sums.
+    """
+    one = observations.select(sample, chain, F.col(position).alias("_p"), F.col(allele).alias("_a")).distinct()
+    per = one.groupBy(sample, chain).agg(F.array_sort(F.collect_set(F.struct("_p", "_a"))).alias("_cs")).where(F.size("_cs") >= 2)
+    counted = per.groupBy(sample, "_cs").agg(F.count("*").alias("_inter"))
+    parts = counted.select(sample, "_cs", "_inter", F.explode("_cs").alias("_c")).select(sample, "_cs", "_inter", F.col("_c._p").alias(position), F.col("_c._a").alias(allele))
+    met = parts.join(sites.select(sample, position, allele, "num_obs", "q_sum", *SUPPORT), [sample, position, allele])
+    scaled = [F.round(F.sum(c) * F.first("_inter") / F.sum("num_obs")).cast("long").alias(c) for c in SUPPORT]
+    out = met.groupBy(sample, "_cs").agg(F.first("_inter").alias("num_obs"), (F.first("_inter") * F.min(F.col("q_sum") / F.col("num_obs"))).alias("q_sum"), *scaled)
+    names = F.array_join(F.transform("_cs", lambda x: F.concat_ws(":", x["_p"].cast("string"), x["_a"])), "|")
+    return out.select(names.alias("constituents"), sample, "num_obs", "q_sum", *SUPPORT)
+
+
+def broken_chains(support: DataFrame, samples: DataFrame, sample: str) -> DataFrame:
+    """(constituents, sample): the samples, data or not, in which no chain anchors the compound. samples: one array of all, in one row."""
+    have = support.groupBy("constituents").agg(F.collect_set(sample).alias("_have")).withColumn("_all", samples.scalar())
+    return have.select("constituents", F.explode(F.array_except("_all", "_have")).alias(sample))

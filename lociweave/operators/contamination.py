@@ -13,7 +13,7 @@ from lociweave.operators.intervals import ensure
 C = config.CONTAMINATION
 
 
-def estimate(observations: DataFrame, order: list[str], sample: str, batch: str, own: str, other_reads: str, depth: str, error: str, block: int = C["block"], c0: float = C["c0"], most_blocks: int = 200) -> DataFrame:
+def estimate(observations: DataFrame, order: list[str], sample: str, batch: str, own: str, other_reads: str, depth: str, error: str, block: int = C["block"], c0: float = C["c0"]) -> DataFrame:
     """(sample, contamination) from a row for each informative site and hom-major sample: reads of the major allele's class (own), of
     others, and their error rate.
 
@@ -30,7 +30,7 @@ def estimate(observations: DataFrame, order: list[str], sample: str, batch: str,
     known = {s: r["n"] >= C["min_batch"] for r in members.collect() for s in r["s"]}
     c, stable, done = dict.fromkeys(known, c0), 0, dict.fromkeys(known, (0.0, 0.0))
     blocks = rows.agg(F.max("block")).first()[0]
-    for b in range(min(most_blocks, (blocks if blocks is not None else -1) + 1)):
+    for b in range((blocks if blocks is not None else -1) + 1):
         now = spark.createDataFrame([(s, x) for s, x in c.items()], f"_s {observations.schema[sample].dataType.simpleString()}, c double")
         met = rows.where(F.col("block") == b).join(F.broadcast(now), F.col(sample) == F.col("_s"))
         foreign = F.col("c") / ((1 - F.col("c")) * F.col(error) + F.col("c"))

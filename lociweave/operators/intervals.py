@@ -73,9 +73,10 @@ def outside(points: DataFrame, intervals: DataFrame, keys: list[str], point: str
 
 
 def complement(df: DataFrame, lengths: DataFrame, keys: list[str], start: str, end: str, length: str) -> DataFrame:
-    """(keys, start, end): what the intervals leave free of 1 to the contig's length."""
-    covered = union(df, keys, start, end).select(*keys, start, end)
-    edges = covered.unionByName(lengths.select(*keys, (F.col(length) + 1).alias(start), (F.col(length) + 1).alias(end)))
+    """(keys, start, end): what the intervals leave free of 1 to the contig's length. Of intervals that run out of the contig the part in it counts."""
+    own = lengths.select(*keys, F.col(length).alias("_length"))
+    clipped = df.join(own, keys).select(*keys, F.greatest(F.col(start), F.lit(1)).alias(start), F.least(F.col(end), F.col("_length")).alias(end)).where(F.col(start) <= F.col(end))
+    edges = union(clipped, keys, start, end).select(*keys, start, end).unionByName(own.select(*keys, (F.col("_length") + 1).alias(start), (F.col("_length") + 1).alias(end)))
     before = F.lag(end, 1, 0).over(Window.partitionBy(*keys).orderBy(start))
     return edges.withColumn("_before", before).where(F.col(start) > F.col("_before") + 1).select(*keys, (F.col("_before") + 1).alias(start), (F.col(start) - 1).alias(end))
 
@@ -91,3 +92,35 @@ def in_order(df: DataFrame, keys: list[str], ordinal: str, position: str) -> Dat
     """df, failing where positions fall in the rows' own order: late input is an error, never dropped."""
     before = F.lag(position).over(Window.partitionBy(*keys).orderBy(ordinal))
     return ensure(df, before > F.col(position), F.concat(F.lit("positions out of order at "), F.col(position).cast("string")))
+
+
+def restrict(covered: DataFrame, regions: DataFrame, keys: list[str], span: tuple[str, str], region: tuple[str, str], tile: int) -> DataFrame:
+    """The parts of covered intervals that lie in a region, with the interval's columns; one for each region that an interval meets."""
+    (a, b), (c, d) = span, region
+    return overlap_join(covered, regions, keys, span, region, tile).withColumn(a, F.greatest(a, c)).withColumn(b, F.least(b, d)).drop(c, d)
+
+
+def inside(points: DataFrame, regions: DataFrame, keys: list[str], point: str, span: tuple[str, str], tile: int) -> DataFrame:
+    """The points in any of the regions, each once."""
+    a, b = span
+    covered = union(regions, keys, a, b).select(*keys, F.col(a).alias("_a"), F.col(b).alias("_b")).withColumn("_tile", F.explode(tiles_of(F.col("_a"), F.col("_b"), tile)))
+    at = points.withColumn("_tile", F.floor(F.col(point) / tile).cast("long"))
+    return at.join(covered, [*keys, "_tile"]).where(F.col(point).between(F.col("_a"), F.col("_b"))).drop("_tile", "_a", "_b")
+
+
+def depth(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """(keys, start, end, depth): runs of places that as many intervals cover, from the changes at their ends; places without any are left out."""
+    changes = df.select(*keys, F.explode(F.array(F.struct(F.col(start).alias("_at"), F.lit(1).alias("_d")), F.struct((F.col(end) + 1).alias("_at"), F.lit(-1).alias("_d")))).alias("x")).select(*keys, "x.*")
+    sums = changes.groupBy(*keys, "_at").agg(F.sum("_d").alias("_d")).where("_d <> 0")
+    by = Window.partitionBy(*keys).orderBy("_at")
+    runs = sums.withColumn("depth", F.sum("_d").over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_next", F.lead("_at").over(by))
+    return runs.where("depth > 0").select(*keys, F.col("_at").alias(start), (F.col("_next") - 1).alias(end), "depth")
+
+
+def safe_cut(df: DataFrame, keys: list[str], start: str, end: str, watermark: int) -> DataFrame:
+    """(keys, cut): where work up to the watermark can be cut without splitting an island: at the start of the last island if that runs
+    past the watermark, else right after it."""
+    found = with_islands(df.where(F.col(start) <= watermark), keys, start, end)
+    islands = found.groupBy(*keys, "island").agg(F.min(start).alias("_a"), F.max(end).alias("_b"))
+    last = islands.groupBy(*keys).agg(F.max_by(F.struct("_a", "_b"), "island").alias("_l"))
+    return last.select(*keys, F.when(F.col("_l._b") > watermark, F.col("_l._a")).otherwise(watermark + 1).alias("cut"))

@@ -104,7 +104,8 @@ def reservoir(rows: DataFrame, keys: list[str], identity: list[str], k: int, see
 
     The hash takes the group in, so that groups draw apart.
     """
-    order = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), *keys, *identity), *identity)
+    drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*keys, *identity)]))
+    order = Window.partitionBy(*keys).orderBy(drawn, *identity)
     return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
 
 
@@ -124,3 +125,17 @@ def merge_files(files: list[DataFrame], identity: list[str], order: list[str]) -
     own = Window.partitionBy(*identity)
     clash = F.min("source_file").over(own) != F.max("source_file").over(own)
     return ensure(both, clash, F.lit("a read is in two files")).orderBy(*order, "source_file")
+
+
+def mismatching(bases: DataFrame, read: list[str], base: str, ref: str, bq: str, floor: int = config.MISMATCH_BQ_FLOOR, most: float = config.MAX_MISMATCH_FRACTION) -> DataFrame:
+    """(read, compared, mismatches, dropped) from a row for each aligned base: a read is dropped where too large a share of its bases of
+    some quality differs from the reference. N on either side is not compared."""
+    sound = (F.col(bq) >= floor) & (F.upper(base) != "N") & (F.upper(ref) != "N")
+    counts = bases.groupBy(*read).agg(F.count_if(sound).alias("compared"), F.count_if(sound & (F.upper(base) != F.upper(ref))).alias("mismatches"))
+    return counts.withColumn("dropped", F.col("mismatches") > most * F.col("compared"))
+
+
+def position_steps(rows: DataFrame, keys: list[str], position: str, block: int) -> DataFrame:
+    """rows with their block, of that many rows in order of position, and the step from the row before in it, 0 for the first."""
+    numbered = rows.withColumn("block", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(position)) - 1) / block).cast("int"))
+    return numbered.withColumn("step", F.col(position) - F.lag(position).over(Window.partitionBy(*keys, "block").orderBy(position))).fillna(0, ["step"])

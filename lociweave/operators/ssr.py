@@ -152,3 +152,50 @@ def fate(catalog: DataFrame, calls: DataFrame, locus: list[str], reason: str) ->
 def stutter_decay(shift_mean: float) -> float:
     """g0's decay for a mean absolute shift K: (sqrt(1 + K^2) - 1) / K."""
     return (math.sqrt(1 + shift_mean**2) - 1) / shift_mean if shift_mean > 0 else 0.0
+
+
+def nearest_parent(units: Column, parents: Column) -> Column:
+    """(place, slip): the called allele, of an array of lengths in units, nearest to a read's length, the first of equals, and how far off it is; null without any."""
+    best = F.array_min(F.transform(parents, lambda p, i: F.struct(F.abs(p - units).alias("off"), i.alias("place"), (units - p).alias("slip"))))
+    return F.when(F.size(parents) > 0, F.struct(best["place"].alias("place"), best["slip"].alias("slip")))
+
+
+def corroboration(calls: DataFrame, keys: list[str], first: str, second: str, first_support: str, second_support: str, balance: float = config.CORROBORATION_BALANCE) -> DataFrame:
+    """(keys, allele, carriers): samples that carry an allele cleanly, homozygous or as a het whose weaker allele has that share of the support."""
+    weak, total = F.least(first_support, second_support), F.col(first_support) + F.col(second_support)
+    hom = F.col(first) == F.col(second)
+    clean = F.when(hom, F.array(first)).when((total <= 0) | (weak >= balance * total), F.array(first, second))
+    return calls.where(clean.isNotNull()).select(*keys, F.explode(clean).alias("allele")).groupBy(*keys, "allele").agg(F.count("*").alias("carriers"))
+
+
+def site_quality(calls: DataFrame, keys: list[str], hom_modal: str, posterior_hom: str, posterior: str, most: float = config.SSR_QUAL_CAP) -> DataFrame:
+    """(keys, qual): the Phred-scaled probability that every sample is homozygous for the modal allele, from 0 to most. No-calls are not rows."""
+    mono = F.when(F.col(hom_modal), F.col(posterior_hom)).otherwise(1.0 - F.col(posterior))
+    total = F.sum(F.log10(F.greatest(F.least(mono, F.lit(1.0)), F.lit(1e-6))))
+    return calls.groupBy(*keys).agg(F.greatest(F.least(-10.0 * total, F.lit(most)), F.lit(0.0)).alias("qual"))
+
+
+def shrunk_inbreeding(loci: DataFrame, sample: str, p_hom: str, expected_hom: str, strength: float = config.F_SHRINK, most: float = config.MAX_INBREEDING) -> DataFrame:
+    """(sample, f): the mean excess of homozygosity over what a locus' frequencies expect, drawn towards the cohort's mean, the more so the
+    fewer loci a sample has. Loci without variation say nothing."""
+    excess = (F.col(p_hom) - F.col(expected_hom)) / (1.0 - F.col(expected_hom))
+    per = loci.where(F.col(expected_hom) < 1 - 1e-9).groupBy(sample).agg(F.avg(excess).alias("_raw"), F.count("*").alias("_n"))
+    cohort = per.agg(F.avg("_raw"))
+    drawn = (F.col("_n") * F.col("_raw") + strength * F.col("_cohort")) / (F.col("_n") + strength)
+    return per.withColumn("_cohort", cohort.scalar()).select(sample, F.greatest(F.least(drawn, F.lit(most)), F.lit(0.0)).alias("f"))
+
+
+def burn_in(loci: DataFrame, order: list[str], evidence: str, most: int = config.BURN_IN_LOCI) -> DataFrame:
+    """The first loci in catalog order that have evidence, to fit parameters on."""
+    return loci.where(F.col(evidence) > 0).orderBy(*order).limit(most)
+
+
+def segment_reason(period: Column, copies: Column, purity: Column, floors: list[int], min_purity: float = config.MIN_PURITY, periods: tuple[int, int] = (1, 6)) -> Column:
+    """Why a repeat is no microsatellite locus, the first reason that applies, or null. floors: the least whole copies of periods 1, 2 and on."""
+    floor = F.get(F.array(*[F.lit(n) for n in floors]), period - 1)
+    return F.when(~period.between(*periods), "period").when(copies < floor, "copies").when(purity < min_purity, "purity")
+
+
+def rejected_bases(segments: DataFrame, reason: Column, length: Column) -> DataFrame:
+    """(reason, segments, bases): what each reason for rejection costs; accepted segments are listed as such."""
+    return segments.groupBy(F.coalesce(reason, F.lit("accepted")).alias("reason")).agg(F.count("*").alias("segments"), F.sum(length).alias("bases"))

@@ -84,10 +84,10 @@ def cohort_position_merge(spark: SparkSession, d: str) -> DataFrame:
     return positions(spark, d)
 
 
-@query(f"""WITH {POSITIONS}, o AS (SELECT *, pos // 10 AS win FROM positions), k AS (SELECT *, sum(max_nonref) OVER (PARTITION BY chrom_id, win) AS s FROM o) SELECT chrom_id, pos, max_nonref FROM k WHERE s >= 40""")
+@query(f"""WITH {POSITIONS}, o AS (SELECT *, pos // 10 AS win FROM positions), k AS (SELECT *, sum(max_nonref) OVER (PARTITION BY chrom_id, win) AS s FROM o) SELECT chrom_id, pos, max_nonref FROM k WHERE s >= 20""")
 def keep_mask(spark: SparkSession, d: str) -> DataFrame:
     groups = positions(spark, d).withColumn("win", F.floor(F.col("pos") / 10))
-    return cohort.keep_groups(groups, ["chrom_id", "win"], "max_nonref", 40).select(*PLACE, "max_nonref")
+    return cohort.keep_groups(groups, ["chrom_id", "win"], "max_nonref", 20).select(*PLACE, "max_nonref")
 
 
 ISLANDS = B.SPANS + """, b AS (SELECT *, max("end") OVER (PARTITION BY contig ORDER BY start, "end", span_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM spans),
@@ -131,8 +131,8 @@ def interval_antijoin(spark: SparkSession, d: str) -> DataFrame:
     return intervals.outside(points, s.where("NOT variant").select("contig", "start", "end"), ["contig"], "point", ("start", "end"), 64)
 
 
-@query("WITH " + ISLANDS.format(gap=1) + """, u AS (SELECT contig, min(start) AS start, max("end") AS "end" FROM i GROUP BY contig, island UNION ALL SELECT DISTINCT contig, 3001, 3001 FROM spans),
- l AS (SELECT *, lag("end", 1, 0) OVER (PARTITION BY contig ORDER BY start) AS prev FROM u) SELECT contig, prev + 1 AS start, start - 1 AS "end" FROM l WHERE start > prev + 1""")
+@query(f"""WITH {B.SPANS}, p AS (SELECT contig, p FROM (SELECT DISTINCT contig FROM spans), range(1, 3001) r(p)), c AS (SELECT DISTINCT contig, unnest(range(start, "end" + 1)) AS p FROM spans),
+ f AS (SELECT * FROM p ANTI JOIN c USING (contig, p)), g AS (SELECT contig, p, p - row_number() OVER (PARTITION BY contig ORDER BY p) AS run FROM f) SELECT contig, min(p) AS start, max(p) AS "end" FROM g GROUP BY contig, run""")
 def interval_complement(spark: SparkSession, d: str) -> DataFrame:
     s = B.spans(spark, d)
     lengths = s.select("contig").distinct().withColumn("length", F.lit(3000).cast("long"))
@@ -275,7 +275,13 @@ def allele_balance_lr(spark: SparkSession, d: str) -> DataFrame:
     return B.biallelic(spark, d).select(*SITE, F.round(lr, 5).alias("lr"))
 
 
-@query()
+TAIL = "-10 * log10(greatest(least(list_sum(list_transform(range(0, {n} + 1), lambda i: CASE WHEN lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) + i * ln({p}) + ({n} - i) * ln(1 - {p}) <= lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1) + {k} * ln({p}) + ({n} - {k}) * ln(1 - {p}) + 1e-7 THEN exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) + i * ln({p}) + ({n} - i) * ln(1 - {p})) ELSE 0 END)), 1.0), 1e-300))"
+
+
+@query(f"""WITH {B.BIALLELIC}, c AS (SELECT chrom_id, pos, {', '.join(f"CAST(sum({s}_{c}) AS BIGINT) AS {s[0]}{c[0]}" for s in ("ref", "alt") for c in ("num_obs", "fwd", "placed_left"))} FROM bi GROUP BY ALL),
+ s AS (SELECT *, rn + an AS n, CASE WHEN rn > 0 THEN least(greatest(rf / rn, 0.01), 0.99) ELSE 0.5 END AS sf, CASE WHEN rn > 0 THEN least(greatest(rp / rn, 0.01), 0.99) ELSE 0.5 END AS sp, least(greatest((an - 3) / 4, 0), 1) AS ramp FROM c),
+ t AS (SELECT *, CASE WHEN an < 0.5 * n THEN {TAIL.format(n="n", k="an", p="0.5")} ELSE 0 END AS balance, greatest({TAIL.format(n="an", k="af", p="sf")}, {TAIL.format(n="an", k="ap", p="sp")}) AS bias FROM s)
+ SELECT chrom_id, pos, round(CASE WHEN an < 1 THEN 100 ELSE greatest(0, 100 - balance - bias * ramp) END, 4)::DOUBLE AS qual FROM t""")
 def qual_refine_bias(spark: SparkSession, d: str) -> DataFrame:
     sums = B.biallelic(spark, d).groupBy(*PLACE).agg(*[F.sum(f"{s}_{c}").alias(f"{s}_{c}") for s in ("ref", "alt") for c in ("num_obs", "fwd", "placed_left")])
     n = F.col("ref_num_obs") + F.col("alt_num_obs")
@@ -476,9 +482,9 @@ def fate_report(spark: SparkSession, d: str) -> DataFrame:
     return ssr.fate(catalog, calls, ["locus"], "reason").select("locus", "fate")
 
 
-@query(f"WITH {B.SEQS}, c AS (SELECT doc_id, substr(seq, 1, 60) AS s FROM seqs WHERE length(seq) > 0) SELECT doc_id, round(list_sum(list_transform(range(1, length(s) + 1), lambda i: CASE WHEN s[i] = substr('CA', CAST(1 + (i - 1) % 2 AS INT), 1) THEN 1 ELSE 0 END)) / length(s), 8) AS purity FROM c")
+@query(f"WITH {B.SEQS}, c AS (SELECT doc_id, seq AS s FROM seqs WHERE length(seq) > 0) SELECT doc_id, round(list_sum(list_transform(range(1, length(s) + 1), lambda i: CASE WHEN s[i] = substr('CA', CAST(1 + (i - 1) % 2 AS INT), 1) THEN 1 ELSE 0 END)) / length(s), 8) AS purity FROM c")
 def motif_purity(spark: SparkSession, d: str) -> DataFrame:
-    s = B.seqs(spark, d).where(F.length("seq") > 0).select("doc_id", F.substring("seq", 1, 60).alias("s"))
+    s = B.seqs(spark, d).where(F.length("seq") > 0).select("doc_id", F.col("seq").alias("s"))
     return s.select("doc_id", F.round(sequence.purity(F.col("s"), F.lit("CA")), 8).alias("purity"))
 
 
@@ -487,11 +493,11 @@ def gc_content(spark: SparkSession, d: str) -> DataFrame:
     return B.seqs(spark, d).where(F.length("seq") > 0).select("doc_id", F.round(sequence.gc_fraction(F.col("seq")), 8).alias("gc"), sequence.motif_count(F.col("seq"), F.lit("CA")).alias("motifs"))
 
 
-@query(f"""WITH {B.SEQS}, w AS (SELECT doc_id, substr(seq, 1, 64) AS s FROM seqs WHERE length(seq) >= 4), t AS (SELECT doc_id, length(s) - 2 AS n, unnest(list_transform(range(1, length(s) - 1), lambda i: substr(s, CAST(i AS INT), 3))) AS t FROM w),
- c AS (SELECT doc_id, n, t, count(*) AS c FROM t GROUP BY ALL) SELECT doc_id, round(10.0 * sum(c * (c - 1) / 2) / (n - 1), 6)::DOUBLE AS score FROM c GROUP BY doc_id, n""")
+@query(f"""WITH {B.SEQS}, x AS (SELECT doc_id, seq, unnest(range(0, (length(seq) + 63) // 64)) AS win FROM seqs), w AS (SELECT doc_id, win, substr(seq, CAST(64 * win + 1 AS INT), 64) AS s FROM x WHERE length(seq) - 64 * win >= 4), t AS (SELECT doc_id, win, length(s) - 2 AS n, unnest(list_transform(range(1, length(s) - 1), lambda i: substr(s, CAST(i AS INT), 3))) AS t FROM w),
+ c AS (SELECT doc_id, win, n, t, count(*) AS c FROM t GROUP BY ALL) SELECT doc_id, CAST(win AS INT) AS win, round(10.0 * sum(c * (c - 1) / 2) / (n - 1), 6)::DOUBLE AS score FROM c GROUP BY doc_id, win, n""")
 def triplet_dust_score(spark: SparkSession, d: str) -> DataFrame:
-    s = B.seqs(spark, d).where(F.length("seq") >= 4).select("doc_id", F.substring("seq", 1, 64).alias("s"))
-    return s.select("doc_id", F.round(sequence.dust_score(F.col("s")), 6).alias("score"))
+    s = B.seqs(spark, d).select("doc_id", F.posexplode(sequence.dust_windows(F.col("seq"), 64)).alias("win", "s")).where(F.length("s") >= 4)
+    return s.select("doc_id", "win", F.round(sequence.dust_score(F.col("s")), 6).alias("score"))
 
 
 @query()
@@ -511,7 +517,7 @@ def typed_regions(spark: SparkSession, d: str) -> DataFrame:
     return scan.typed_regions(B.seqs(spark, d), "doc_id", "seq")
 
 
-@query()
+@query(f"""WITH {B.READS}, r AS (SELECT sample, chrom_id, pos, read_id, row_number() OVER (PARTITION BY sample, chrom_id, pos ORDER BY md5('1|' || sample || '|' || chrom_id || '|' || pos || '|' || read_id), read_id) AS n FROM reads) SELECT sample, chrom_id, pos, read_id FROM r WHERE n <= 3""")
 def reservoir_topk_hash(spark: SparkSession, d: str) -> DataFrame:
     return R.reservoir(B.reads(spark, d), SITE, ["read_id"], 3).select(*SITE, "read_id")
 

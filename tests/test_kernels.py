@@ -164,3 +164,29 @@ def test_fixed_point_sum_ignores_order(spark):
     df = spark.range(1000).select(((F.col("id") % 7) * 0.1 + F.col("id") * 1e-9).alias("x"))
     sums = {df.repartition(n).agg(stats.ordered_sum(F.col("x"))).first()[0] for n in (1, 3, 8)}
     assert len(sums) == 1
+
+
+def test_complement_of_spans_beyond_the_contig(spark):
+    from lociweave.operators import intervals
+
+    spans = [("a", 95, 130), ("a", 100, 140), ("a", 150, 160), ("a", -5, 3), ("b", 20, 20), ("c", 1, 10), ("d", 11, 30)]
+    lengths = spark.createDataFrame([("a", 100), ("b", 20), ("c", 10), ("d", 10)], "contig string, length long")
+    got = intervals.complement(spark.createDataFrame(spans, "contig string, start long, end long"), lengths, ["contig"], "start", "end", "length")
+    assert sorted(map(tuple, got.collect())) == [("a", 4, 94), ("b", 1, 19), ("d", 1, 10)]
+
+
+def test_integers_of_variable_length(spark):
+    from pyspark.sql import functions as F
+
+    from lociweave.functions import encoding
+
+    numbers = [0, -1, 1, 63, -64, 64, 300, 2**31, -(2**40), 2**62, -(2**63)]
+    rows = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", encoding.leb128(encoding.zigzag(F.col("n"))).alias("b")).withColumn("back", encoding.unzigzag(encoding.from_leb128(F.concat("b", F.lit("ff00"))))).collect()
+    assert [r["back"] for r in rows] == numbers and [r["b"] for r in rows[:4]] == ["00", "01", "02", "7e"]
+    assert encoding.parse_floors("6, 4,4,3,3,3") == [6, 4, 4, 3, 3, 3]
+    for bad in ("6,4", "6,4,4,3,3,x"):
+        try:
+            encoding.parse_floors(bad)
+            raise AssertionError(bad)
+        except ValueError:
+            pass

@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+import lociweave.plans.more  # noqa: F401  registers its queries
 from lociweave.plans.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
