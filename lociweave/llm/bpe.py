@@ -10,7 +10,9 @@
 4. A second Arrow step puts the documents together: ids by code, digests, and for decoding the pieces concatenated.
 
 Words and codes of a run stay in one row of bounded size; a run ends after RUN_WORDS words. One document's words always
-share a row, so memory follows the longest document. A word of n bytes takes at most n merges of cheap array operations.
+share a row, so memory follows the longest document. A word of n bytes takes at most n merges, each a pass over its array.
+Words of more than LONG_WORD bytes, for which that square counts, are folded in the Arrow step instead, by the same merges
+and rank map, all places of the lowest pair in one pass.
 
 Defined cases: a null text counts as empty; an empty text has no ids; repeated rows each give a row; an empty table gives an
 empty result; other columns are ignored; any Unicode string decodes to its own UTF-8 bytes.
@@ -26,10 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RUN_WORDS, BATCH_TOKENS = 1_500_000, 200_000
+RUN_WORDS, BATCH_TOKENS = 600_000, 200_000
+LONG_WORD = 1024  # bytes
 SAMPLE, FREQUENT = 20_000, 200_000
 WIDTH, PLACES = 17, 28  # bits of an id and of a byte's place in its word
 NO_PAIR = 1 << WIDTH + WIDTH + PLACES  # entries from here on have no pair to merge
@@ -45,7 +48,7 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     return {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
 
 
-def perfect_hash(pairs: dict[tuple[int, int], int]) -> tuple[int, list[int]]:
+def perfect_hash(pairs: dict[tuple[int, int], int]) -> tuple[int, np.ndarray]:
     """The number of buckets, and one table: a shift for each bucket, then each slot's key * 2^WIDTH + merged id.
 
     A key's bucket is key mod buckets, its slot (key mod slots + the bucket's shift) mod slots.
@@ -69,7 +72,7 @@ def perfect_hash(pairs: dict[tuple[int, int], int]) -> tuple[int, list[int]]:
         shift[int(h1[group[0]])] = d
         for k, x in zip(group, base, strict=True):
             slot[(x + d) % slots] = int(keys[k]) << WIDTH | int(values[k])
-    return buckets, shift + slot
+    return buckets, np.array(shift + slot, dtype=np.int64)
 
 
 class Tokenizer:
@@ -89,9 +92,46 @@ class Tokenizer:
                 self.pair_rank[t[0] << 8 | t[1]] = r
         self.buckets, self.table = perfect_hash(pair_ranks(self.ranks))
 
-    def literal(self) -> Column:
-        """The rank map as one literal array: a constant that the optimizer folds, not a node for each number."""
-        return F.split(F.lit(",".join(map(str, self.table))), ",").cast("array<bigint>")
+    def __getstate__(self) -> dict:
+        """What workers split and fold words with."""
+        return {k: v for k, v in vars(self).items() if k not in ("ranks", "pieces")}
+
+    def merged_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """merged() of arrays."""
+        key = left << WIDTH | right
+        slots = len(self.table) - self.buckets
+        entry = self.table[self.buckets + (key % slots + self.table[key % self.buckets]) % slots]
+        return np.where(entry >> WIDTH == key, entry & (1 << WIDTH) - 1, 1 << WIDTH)
+
+    def fold_long(self, word: bytes) -> np.ndarray:
+        """The ids of a word: all places of the lowest pair are merged at once, from the left, unless that makes a pair lower still,
+        which would come before the places further right; then only the leftmost is."""
+        ids = self.of_byte[np.frombuffer(word, np.uint8)]
+        ranks = self.merged_of(ids[:-1], ids[1:])
+        while len(ranks) and (low := ranks.min()) < 1 << WIDTH:
+            at = np.flatnonzero(ranks == low)
+            # of places that follow each other directly every second one overlaps the one before
+            opens = np.concatenate([[True], np.diff(at) > 1])
+            at = at[(np.arange(len(at)) - np.flatnonzero(opens)[np.cumsum(opens) - 1]) % 2 == 0]
+            while True:
+                now, pairs = ids.copy(), np.delete(ranks, at)
+                now[at] = low
+                now = np.delete(now, at + 1)
+                places = at - np.arange(len(at))  # of the merged ids
+                changed = np.unique(np.concatenate([places - 1, places]))
+                changed = changed[(changed >= 0) & (changed < len(pairs))]
+                pairs[changed] = self.merged_of(now[changed], now[changed + 1])
+                if len(at) == 1 or not len(changed) or pairs[changed].min() >= low:
+                    break
+                at = at[:1]
+            ids, ranks = now, pairs
+        return ids
+
+    def literal(self, spark: SparkSession) -> Column:
+        """The rank map as one literal array. It is the only value of a literal relation, as plans print each value of an array among
+        their expressions, and the driver keeps what they print."""
+        values = pa.ListArray.from_arrays(pa.array([0, len(self.table)], pa.int32()), pa.array(self.table))
+        return spark.createDataFrame(pa.table({"ranks": values})).scalar()
 
     def merged(self, table: Column, left: Column, right: Column) -> Column:
         """The id of the two ids' concatenation, which is also the pair's rank, or 2^WIDTH. No part is named twice that is costly, as lambdas run as written."""
@@ -102,9 +142,13 @@ class Tokenizer:
         # entry less key * 2^WIDTH is the merged id if the slot holds this key, else negative or out of an id's range
         return F.least((entry - key * (1 << WIDTH)).bitwiseAND((1 << 63) - 1), F.lit(1 << WIDTH).cast("bigint"))
 
-    def fold_words(self, words: Column) -> Column:
-        """The ids of each word given as the ids of its bytes; the rank map is bound once for all of them."""
-        return F.get(F.transform(F.array(self.literal()), lambda table: F.transform(words, lambda w: self.fold(table, w))), F.lit(0))
+    def fold_words(self, rows: DataFrame, words: str) -> DataFrame:
+        """rows with, in place of the column of words given as entries for their bytes, the ids of each; the rank map is bound once for all of them."""
+        with_ranks = rows.withColumn("_ranks", self.literal(rows.sparkSession))
+        # an array that transform() made holds its numbers as objects, which lookups then share rather than make
+        held = F.array(F.transform("_ranks", lambda x: x))
+        folded = F.get(F.transform(held, lambda table: F.transform(words, lambda w: self.fold(table, w))), F.lit(0))
+        return with_ranks.select(*[folded.alias(c) if c == words else F.col(c) for c in rows.columns])
 
     def fold(self, table: Column, entries: Column) -> Column:
         """The ids of a word given as an entry for each byte: the rank of the pair it begins, its place, its id.
@@ -133,14 +177,20 @@ class Tokenizer:
             found = F.struct(low.alias("low"), F.array_position(acc, low).cast("int").alias("j"))
             return F.when(low < NO_PAIR, F.get(F.transform(F.array(found), merge), F.lit(0))).otherwise(acc)
 
-        return F.transform(F.when(F.size(entries) < 2, entries).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(entries)), entries, step)), id_of)
+        return F.transform(F.when(F.array_min(entries) >= NO_PAIR, entries).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(entries)), entries, step)), id_of)
 
 
 BLOCK = "doc_ids array<bigint>, lengths array<int>, codes binary, words array<array<bigint>>"
 
 
-def entries_of(words: list[str], of_byte: np.ndarray, pair_rank: np.ndarray) -> pa.ListArray:
-    """Each word's bytes as the entries that the fold starts from."""
+def entries_of(words: list[str], tokenizer: "Tokenizer") -> pa.ListArray:
+    """Each word's bytes as the entries that the fold starts from, or a long word's ids as entries without a pair to merge."""
+    of_byte, pair_rank = tokenizer.of_byte, tokenizer.pair_rank
+    long = {i: tokenizer.fold_long(w.encode()) for i, w in enumerate(words) if 4 * len(w) > LONG_WORD and len(w.encode()) > LONG_WORD}
+    if long:
+        short = entries_of([w for i, w in enumerate(words) if i not in long], tokenizer)
+        each = iter(short)
+        return pa.array([NO_PAIR | long[i] if i in long else next(each).values.to_numpy() for i in range(len(words))], pa.list_(pa.int64()))
     raw = pa.array(words, pa.string()).cast(pa.binary())
     ends = np.frombuffer(raw.buffers()[1], dtype=np.int32)[: len(raw) + 1].astype(np.int64) if len(raw) else np.zeros(1, np.int64)
     data = np.frombuffer(raw.buffers()[2] or b"", dtype=np.uint8)[: ends[-1]]
@@ -154,20 +204,20 @@ def entries_of(words: list[str], of_byte: np.ndarray, pair_rank: np.ndarray) ->
 def name_words(tokenizer: "Tokenizer", known, run_words: int):
     """Batches of (id, text) to rows of BLOCK: ids and word counts of documents, their words as codes, each new distinct word once, as entries.
 
-    known: a broadcast of the words that have codes already, in the order of their codes.
+    known: a broadcast of frequent_words(), whose words have codes already, in their order.
     """
-    pattern, of_byte, pair_rank = tokenizer.pattern, tokenizer.of_byte, tokenizer.pair_rank
+    pattern = tokenizer.pattern
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         words_in = regex.compile(pattern).findall
         schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("codes", pa.binary()), ("words", pa.list_(pa.list_(pa.int64())))])
-        first = {w: i for i, w in enumerate(known.value)}
+        first = {w: i for i, w in enumerate(known_words(known.value))}
         table, ids, lengths, codes, held = dict(first), [], [], [], 0
 
         def block() -> pa.RecordBatch:
-            new = entries_of(list(itertools.islice(table, len(first), None)), of_byte, pair_rank)
+            new = entries_of(list(itertools.islice(table, len(first), None)), tokenizer)
             whole = np.concatenate(codes).tobytes() if codes else b""
             return pa.record_batch([pa.array([ids], schema[0].type), pa.array([lengths], schema[1].type), pa.array([whole], schema[2].type), pa.ListArray.from_arrays(pa.array([0, len(new)], pa.int32()), new)], schema=schema)
 
@@ -188,13 +238,13 @@ def name_words(tokenizer: "Tokenizer", known, run_words: int):
     return run
 
 
-def frequent_words(docs: DataFrame, tokenizer: "Tokenizer", text_col: str, sample: int, words: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """At most `words` words that are frequent in a sample of about `sample` documents, all their ids, and each one's number of ids.
+def frequent_words(docs: DataFrame, tokenizer: "Tokenizer", text_col: str, sample: int, words: int) -> list[bytes]:
+    """At most `words` words that are frequent in a sample of about `sample` documents, with their ids, as Arrow tables.
 
     What is frequent saves work only: such words are folded once rather than in each run. The result does not depend on it.
     """
     n = docs.count()
-    pattern, of_byte, pair_rank = tokenizer.pattern, tokenizer.of_byte, tokenizer.pair_rank
+    pattern = tokenizer.pattern
     some = docs.select(F.col(text_col).alias("text")).where(F.length(text_col) < 1 << 20)
     some = some.sample(min(1.0, sample / n), seed=1) if n else some
 
@@ -212,57 +262,82 @@ def frequent_words(docs: DataFrame, tokenizer: "Tokenizer", text_col: str, sampl
         for batch in batches:
             for low in range(0, batch.num_rows, 2000):
                 part = batch.column(0).slice(low, 2000)
-                one = entries_of(part.to_pylist(), of_byte, pair_rank)
+                one = entries_of(part.to_pylist(), tokenizer)
                 yield pa.record_batch([pa.array([part.to_pylist()], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array([0, len(one)], pa.int32()), one)], names=["words", "entries"])
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(1).flatten()
+            known = pa.record_batch([batch.column(0).flatten(), pa.ListArray.from_arrays(ids.offsets, ids.values.cast(pa.int32()))], names=["word", "ids"])
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, known.schema) as stream:
+                stream.write_batch(known)
+            yield pa.record_batch([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["known"])
+
     top = some.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
     # dealt out again, as a limit leaves one partition
     dealt = top.select("word").repartition(12).mapInArrow(entries, "words array<string>, entries array<array<bigint>>")
-    rows = dealt.select("words", tokenizer.fold_words(F.col("entries")).alias("ids")).collect()
-    ids = [x for r in rows for x in r["ids"]]
-    return [w for r in rows for w in r["words"]], np.array([i for x in ids for i in x], dtype=np.int64), np.array([len(x) for x in ids], dtype=np.int64)
+    return [bytes(r["known"]) for r in tokenizer.fold_words(dealt, "entries").mapInArrow(pack, "known binary").collect()]
+
+
+def known_words(known: list[bytes]) -> list[str]:
+    """The words of what frequent_words() returns."""
+    return [w for x in known for w in pa.ipc.open_stream(x).read_all().column(0).to_pylist()]
+
+
+def known_ids(known: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of those words, and each one's number of ids."""
+    ids = [c for x in known for c in pa.ipc.open_stream(x).read_all().column(1).chunks]
+    flat, sizes = ([f(c).to_numpy(zero_copy_only=False) for c in ids] for f in (pa.ListArray.flatten, pa.ListArray.value_lengths))
+    none = [np.zeros(0, np.int32)]
+    return np.concatenate(none + flat), np.concatenate(none + sizes)
 
 
 OUT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
-def ids_of_blocks(batch: pa.RecordBatch, known_ids: np.ndarray, known_sizes: np.ndarray) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """For each block: document ids, all its token ids, and where each document's begin and end."""
+def ids_of_blocks(batch: pa.RecordBatch, known: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """For some documents of each block at a time: their ids, all token ids, and where each document's begin and end."""
     for k in range(batch.num_rows):
-        docs, lengths = batch.column(0)[k].values, batch.column(1)[k].values.to_numpy(zero_copy_only=False).astype(np.int64)
-        codes = np.frombuffer(batch.column(2)[k].as_py(), dtype=np.int32)
+        docs, lengths = batch.column(0)[k].values.to_pylist(), batch.column(1)[k].values.to_numpy(zero_copy_only=False).astype(np.int64)
+        codes = np.frombuffer(batch.column(2)[k].as_buffer(), dtype=np.int32)
         folded = batch.column(3)[k].values
-        flat = folded.flatten().to_numpy(zero_copy_only=False) if len(folded) else np.zeros(0, np.int64)
-        sizes = folded.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) if len(folded) else np.zeros(0, np.int64)
-        flat, sizes = np.concatenate([known_ids, flat]), np.concatenate([known_sizes, sizes])
+        flat, sizes = known
+        if len(folded):
+            flat = np.concatenate([flat, folded.flatten().to_numpy(zero_copy_only=False).astype(np.int32)])
+            sizes = np.concatenate([sizes, folded.value_lengths().to_numpy(zero_copy_only=False)])
         begins = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        each = sizes[codes]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        at = np.repeat(begins[codes] - ends[:-1], each) + np.arange(ends[-1])
-        tokens = flat[at]
-        bounds = ends[np.concatenate([[0], np.cumsum(lengths)])]
-        yield docs.to_pylist(), tokens, bounds
+        places = np.concatenate([[0], np.cumsum(lengths)])
+        low = 0
+        while low < len(docs):
+            high = max(low + 1, int(np.searchsorted(places, places[low] + BATCH_TOKENS // 2, side="right")) - 1)
+            high = min(high, low + 1024, len(docs))
+            own = codes[places[low] : places[high]]
+            each = sizes[own]
+            ends = np.concatenate([[0], np.cumsum(each)])
+            tokens = flat[np.repeat(begins[own] - ends[:-1], each) + np.arange(ends[-1])]
+            yield docs[low:high], tokens, ends[places[low : high + 1] - places[low]]
+            low = high
 
 
 def put_together(pieces: list[bytes], known, with_ids: bool, with_decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shown = [str(i) for i in range(len(pieces))]
+        frequent = known_ids(known.value)
+        fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+        fields += [("ids", pa.list_(pa.int32()))] * with_ids + [("decoded", pa.string())] * with_decoded
         for batch in batches:
-            for docs, tokens, bounds in ids_of_blocks(batch, *known.value):
-                low = 0
-                while low < len(docs):
-                    high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + BATCH_TOKENS, side="right")) - 1)
-                    high = min(high, low + 1024, len(docs))
-                    rows = []
-                    for d in range(low, high):
-                        ids = tokens[bounds[d] : bounds[d + 1]].tolist()
-                        decoded = b"".join([pieces[i] for i in ids])
-                        row = {"doc_id": docs[d], "n_tokens": len(ids), "ids_sha256": hashlib.sha256(" ".join([shown[i] for i in ids]).encode()).hexdigest(), "decoded_sha256": hashlib.sha256(decoded).hexdigest()}
-                        rows.append(row | ({"ids": ids} if with_ids else {}) | ({"decoded": decoded.decode("utf-8", "replace")} if with_decoded else {}))
-                    fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-                    fields += [("ids", pa.list_(pa.int32()))] * with_ids + [("decoded", pa.string())] * with_decoded
-                    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(fields))
-                    low = high
+            for docs, tokens, bounds in ids_of_blocks(batch, frequent):
+                rows = []
+                for d in range(len(docs)):
+                    ids = tokens[bounds[d] : bounds[d + 1]].tolist()
+                    decoded = b"".join([pieces[i] for i in ids])
+                    row = (docs[d], len(ids), hashlib.sha256(" ".join([shown[i] for i in ids]).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest())
+                    rows.append(row + (decoded.decode("utf-8", "replace"),) * with_decoded)
+                columns = [pa.array(c, fields[i][1]) for i, c in enumerate(zip(*[r[:4] for r in rows], strict=True))]
+                columns += [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(tokens, pa.int32()))] * with_ids
+                columns += [pa.array([r[4] for r in rows], pa.string()) for _ in range(with_decoded)]
+                yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
 
     return run
 
@@ -270,13 +345,12 @@ def put_together(pieces: list[bytes], known, with_ids: bool, with_decoded: bool)
 def encode(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, with_decoded: bool = False, run_words: int = RUN_WORDS, frequent: int = FREQUENT) -> DataFrame:
     """Token counts and digests of ids and of the decoded bytes; with_ids and with_decoded add the ids and the decoded text."""
     spark = docs.sparkSession
-    words, ids, sizes = frequent_words(docs, tokenizer, text_col, SAMPLE, frequent)
-    known, known_ids = spark.sparkContext.broadcast(words), spark.sparkContext.broadcast((ids, sizes))
+    known = spark.sparkContext.broadcast(frequent_words(docs, tokenizer, text_col, SAMPLE, frequent))
     slim = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     blocks = slim.mapInArrow(name_words(tokenizer, known, run_words), BLOCK)
-    folded = blocks.select("doc_ids", "lengths", "codes", tokenizer.fold_words(F.col("words")).alias("words"))
+    folded = tokenizer.fold_words(blocks, "words")
     out = OUT + ", ids array<int>" * with_ids + ", decoded string" * with_decoded
-    return folded.mapInArrow(put_together(tokenizer.pieces, known_ids, with_ids, with_decoded), out).withColumnRenamed("doc_id", id_col)
+    return folded.mapInArrow(put_together(tokenizer.pieces, known, with_ids, with_decoded), out).withColumnRenamed("doc_id", id_col)
 
 
 def decode(encoded: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
