@@ -41,10 +41,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def cut(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """df written to the shared folder and read back, so that a lost executor costs no recomputation; and its path."""
+    """df written to the shared folder and read back, so that a lost executor costs no recomputation; and its path.
+
+    Nothing needs the shuffle files behind it any more; Spark deletes them once the driver has collected what refers to them.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -61,6 +65,18 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
 
 
 SHARES = 1000
+BITS = 1 << 26  # of a set of keys that is broadcast: 8 MB, however many keys there are
+
+
+def likely_among(rows: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """rows without most of those whose key (bigint) is not in asked: those whose key's bit is set among BITS. What is left over goes in
+    an exact join; this one only spares it rows, and moves none."""
+    place = F.pmod(F.col(key), F.lit(BITS)) + 1
+    sets = asked.select(place.alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
+    met = rows.withColumn("_at", place).withColumn("_bucket", F.bitmap_bucket_number("_at")).join(F.broadcast(sets), "_bucket")
+    at = F.bitmap_bit_position("_at")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return met.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
 
 
 def split_join(rows: DataFrame, classes: DataFrame, key: str, copies: str, spread: list[str], how: str = "inner") -> DataFrame:

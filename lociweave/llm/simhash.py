@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_rows, components, cut, drop_path, spanning_forest, split_join
+from .shared import arrow_rows, components, cut, drop_path, likely_among, spanning_forest, split_join
 
 TILE = 4096
 SEED = 42
@@ -72,6 +72,18 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, shingle)]))
 
 
+def packed_set(shingles: np.ndarray) -> bytes:
+    """A set by 48 bits of its hashes, six bytes each: of two sets of n shingles about n * n / 2^48 look alike that differ."""
+    low = np.unique(shingles & np.uint64((1 << 48) - 1)).astype("<u8")
+    return low.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked_set(data) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, sizes: bool = False) -> DataFrame:
     """(id, fp, size): fp is the fingerprint as a signed long, size the number of different shingles, 0 unless asked for."""
 
@@ -234,23 +246,26 @@ def similar_pairs(pairs: DataFrame, reps: DataFrame, shingle: int, least: Fracti
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 some = batch.slice(low, 256)
-                yield pa.record_batch([some.column(0), pa.array([shingle_set(x.as_py(), shingle).tobytes() for x in some.column(1)], pa.binary())], names=["of", "shingles"])
+                yield pa.record_batch([some.column(0), pa.array([packed_set(shingle_set(x.as_py(), shingle)) for x in some.column(1)], pa.binary())], names=["of", "shingles"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = unpacked_set(x.as_buffer()), unpacked_set(y.as_buffer())
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(both > 0 and both * least.denominator >= least.numerator * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     asked = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    held, path = cut(reps.select("fp", "text").join(asked, "fp", "left_semi").mapInArrow(sets, "of bigint, shingles binary"), "shingles")
+    asked, asked_path = cut(asked, "asked")
+    # not a semi-join, which the optimizer would push below the cheaper test and so move all texts; each fp is asked for once
+    held, path = cut(likely_among(reps.select("fp", "text"), asked, "fp").join(asked, "fp").select("fp", "text").mapInArrow(sets, "of bigint, shingles binary"), "shingles")
     met = pairs.join(held.select(F.col("of").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("of").alias("b"), F.col("shingles").alias("y")), "b")
     with arrow_rows(pairs.sparkSession, 1000):
         verified, _ = cut(met.select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint"), "verified")
     drop_path(pairs.sparkSession, path)
+    drop_path(pairs.sparkSession, asked_path)
     return verified
 
 
@@ -288,9 +303,10 @@ def similar_classes(rows: DataFrame, shingle: int = 5, least: float = 0.8) -> Da
     ratio = Fraction(str(least))
     reps, _ = cut(rows.groupBy("fp").agg(F.min("id").alias("low"), F.first("text").alias("text"), F.count("*").alias("copies")), "classes")
     classes = reps.select("fp", "low", "copies")
-    found, _ = cut(prefixes(reps, shingle, ratio, hot_shingles(reps, shingle)), "prefixes")
+    found, found_path = cut(prefixes(reps, shingle, ratio, hot_shingles(reps, shingle)), "prefixes")
     shared = found.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
     places, _ = cut(found.join(shared, "token"), "places")
+    drop_path(spark, found_path)
 
     # sizes within the ratio; and what is left of both from the first shared shingle on can be enough
     num, den = ratio.numerator, ratio.denominator
