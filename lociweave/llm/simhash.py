@@ -310,10 +310,17 @@ def similar_classes(rows: DataFrame, shingle: int = 5, least: float = 0.8) -> Da
 
     # sizes within the ratio; and what is left of both from the first shared shingle on can be enough
     num, den = ratio.numerator, ratio.denominator
+    sizes_fit = F.least("a_size", "b_size") * den >= F.greatest("a_size", "b_size") * num
+    enough = (F.col("a_size") + F.col("b_size")).cast("bigint") * num
     room = F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at")).cast("bigint")
-    fits = (F.least("a_size", "b_size") * den >= F.greatest("a_size", "b_size") * num) & (room * (num + den) >= (F.col("a_size") + F.col("b_size")) * num)
+    # where all that two prefixes share is counted: no more can follow than comes after its last, nor after the end of the prefix that
+    # ends first, of which the longer rest is taken
+    after_last = F.least(F.col("a_size") - F.col("a_last"), F.col("b_size") - F.col("b_last")) - 1
+    after_prefix = F.ceil(F.greatest("a_size", "b_size") * num / den) - 1
+    most = F.col("n") + F.least(after_last.cast("bigint"), after_prefix.cast("bigint"))
     a = [F.col(c).alias(f"a_{c}") for c in ("fp", "size", "at", "part")]
     b = [F.col(c).alias(f"b_{c}") for c in ("fp", "size", "at", "part")]
+    both = [F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b")]
     links, tried, parts = None, None, None
     for turn in range(HUB_TURNS + 1):
         if links is None:
@@ -325,10 +332,12 @@ def similar_classes(rows: DataFrame, shingle: int = 5, least: float = 0.8) -> Da
         now, path = cut(now.join(apart, "token"), "apart")
         if turn < HUB_TURNS:
             hubs = now.groupBy("token").agg(F.min_by(F.struct("fp", "size", "at", "part"), F.xxhash64("fp", F.lit(turn))).alias("hub")).select("token", F.col("hub.fp").alias("b_fp"), F.col("hub.size").alias("b_size"), F.col("hub.at").alias("b_at"), F.col("hub.part").alias("b_part"))
-            met = now.select("token", *a).join(hubs, "token").where(F.col("a_part") != F.col("b_part"))
+            met = now.select("token", *a).join(hubs, "token").where((F.col("a_part") != F.col("b_part")) & sizes_fit)
+            pairs = met.where(room * (num + den) >= enough).select(*both).distinct()
         else:
-            met = now.select("token", *a).join(now.select("token", *b), "token").where(F.col("a_part") < F.col("b_part"))
-        pairs = met.where(fits).select(F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b")).distinct()
+            met = now.select("token", *a).join(now.select("token", *b), "token").where((F.col("a_part") < F.col("b_part")) & sizes_fit)
+            counted = met.groupBy("a_fp", "b_fp", "a_size", "b_size").agg(F.count("*").alias("n"), F.max("a_at").alias("a_last"), F.max("b_at").alias("b_last"))
+            pairs = counted.where(most * (num + den) >= enough).select(*both)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs, _ = cut(pairs, "proposals")
