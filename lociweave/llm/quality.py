@@ -26,9 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .logistic import Model, fit, labelled_sample
-from .shared import cut
+from .shared import arrow_rows, cut
 
 SAMPLE, BROADCAST = 20_000, 50_000
+TEXTS = 1000  # in an Arrow batch
 FEATURES = 12
 
 
@@ -77,7 +78,8 @@ def with_features(docs: DataFrame, columns: list[str], text_col: str, model: Mod
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
-    rows = with_features(labelled_sample(docs, labels, label, sample, id_col, text_col), ["label"], "text").collect()
+    with arrow_rows(docs.sparkSession, TEXTS):
+        rows = with_features(labelled_sample(docs, labels, label, sample, id_col, text_col), ["label"], "text").collect()
     return fit(np.array([r["features"] for r in rows]).reshape(-1, FEATURES), np.array([r["label"] for r in rows], dtype=np.float64))
 
 
@@ -98,7 +100,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     names = [c for c in keep or [] if c != id_col]
     kept = [f"_keep{i}" for i in range(len(names))]
     named = docs.select(F.col(id_col).alias("_id"), F.col(host_col).alias("_host"), F.col(path_col).alias("_path"), F.col(text_col).alias("_text"), *[F.col(c).alias(k) for c, k in zip(names, kept, strict=True)])
-    rows, _ = cut(with_features(named, ["_id", "_host", "_path", *kept], "_text", model), "quality")
+    with arrow_rows(docs.sparkSession, TEXTS):
+        rows, _ = cut(with_features(named, ["_id", "_host", "_path", *kept], "_text", model), "quality")
     kept = [F.col(k).alias(c) for c, k in zip(names, kept, strict=True)]
     rows = rows.withColumn("p", 1 / (1 + F.exp(-F.col("logit"))))
     sums = [F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("ss")]
