@@ -25,7 +25,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import arrow_rows, components, cut, drop_path, likely_among, spanning_forest, split_join
@@ -36,6 +36,7 @@ SEED = 42
 ORDER_SAMPLE = 8000
 HOT_SHINGLES = 100_000
 HUB_TURNS = 2
+TEXTS = 1000  # in an Arrow batch
 
 
 def shingle_hashes(text: str | None, shingle: int, seed: int = SEED) -> Iterator[np.ndarray]:
@@ -214,13 +215,14 @@ def hot_shingles(reps: DataFrame, shingle: int) -> np.ndarray:
 
     one_in = max(1, reps.count() // ORDER_SAMPLE)
     counted = reps.where(F.pmod(F.xxhash64("fp"), F.lit(one_in)) == 0).select("text").mapInArrow(run, "token bigint").groupBy("token").count().where("count > 3")
-    rows = counted.orderBy(F.desc("count"), "token").limit(HOT_SHINGLES).collect()
+    with arrow_rows(reps.sparkSession, TEXTS):
+        rows = counted.orderBy(F.desc("count"), "token").limit(HOT_SHINGLES).collect()
     return np.array([r["token"] for r in reversed(rows)], dtype=np.int64).view(np.uint64)
 
 
 def prefixes(reps: DataFrame, shingle: int, least: Fraction, hot: np.ndarray) -> DataFrame:
-    """(token, fp, size, at): of each text's different shingles, in one order for all texts, as many from the front as two sets
-    of the similarity cannot both do without; `at` counts from 0."""
+    """(token, fp, size, at, hot): of each text's different shingles, in one order for all texts, as many from the front as two sets
+    of the similarity cannot both do without; `at` counts from 0, hot is whether the shingle is one of `hot`."""
     by_hash, rank = np.sort(hot), np.argsort(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,14 +231,28 @@ def prefixes(reps: DataFrame, shingle: int, least: Fraction, hot: np.ndarray) ->
                 have = shingle_set(text.as_py(), shingle)
                 if not len(have):
                     continue
+                ranked = np.zeros(len(have), np.int64)
                 if len(by_hash):
                     place = np.minimum(np.searchsorted(by_hash, have), len(by_hash) - 1)
-                    have = have[np.argsort(np.where(by_hash[place] == have, rank[place] + 1, 0), kind="stable")]
+                    ranked = np.where(by_hash[place] == have, rank[place] + 1, 0)
+                    order = np.argsort(ranked, kind="stable")
+                    have, ranked = have[order], ranked[order]
                 # a partner shares at least ceil(least * n) of them, so that one is among the first n - that + 1
                 n = len(have) + int(-least * len(have) // 1) + 1
-                yield pa.record_batch([pa.array(have[:n].view(np.int64)), pa.array(np.full(n, fp, np.int64)), pa.array(np.full(n, len(have), np.int32)), pa.array(np.arange(n, dtype=np.int32))], names=["token", "fp", "size", "at"])
+                yield pa.record_batch([pa.array(have[:n].view(np.int64)), pa.array(np.full(n, fp, np.int64)), pa.array(np.full(n, len(have), np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(ranked[:n] > 0)], names=["token", "fp", "size", "at", "hot"])
 
-    return reps.select("fp", "text").mapInArrow(run, "token bigint, fp bigint, size int, at int")
+    return reps.select("fp", "text").mapInArrow(run, "token bigint, fp bigint, size int, at int, hot boolean")
+
+
+def shared_prefixes(found: DataFrame) -> DataFrame:
+    """Of prefixes() the rows whose shingle another text's prefix holds too, and all rows of hot shingles, which several texts have.
+
+    One shuffle by shingle, in which a row looks at its neighbours; hot rows need not look and are spread by a hash of their own.
+    """
+    alone = F.when(F.col("hot"), F.pmod(F.xxhash64("fp", "at"), F.lit(1 << 20)) + 1).otherwise(F.lit(0))
+    near = Window.partitionBy("token", "alone").orderBy("fp")
+    met = found.withColumn("alone", alone).select("token", "fp", "size", "at", "alone").withColumn("before", F.lag("fp").over(near)).withColumn("after", F.lead("fp").over(near))
+    return met.where("alone > 0 OR before IS NOT NULL OR after IS NOT NULL").select("token", "fp", "size", "at")
 
 
 def similar_pairs(pairs: DataFrame, reps: DataFrame, shingle: int, least: Fraction) -> DataFrame:
@@ -260,7 +276,8 @@ def similar_pairs(pairs: DataFrame, reps: DataFrame, shingle: int, least: Fracti
     asked = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
     asked, asked_path = cut(asked, "asked")
     # not a semi-join, which the optimizer would push below the cheaper test and so move all texts; each fp is asked for once
-    held, path = cut(likely_among(reps.select("fp", "text"), asked, "fp").join(asked, "fp").select("fp", "text").mapInArrow(sets, "of bigint, shingles binary"), "shingles")
+    with arrow_rows(pairs.sparkSession, TEXTS):
+        held, path = cut(likely_among(reps.select("fp", "text"), asked, "fp").join(asked, "fp").select("fp", "text").mapInArrow(sets, "of bigint, shingles binary"), "shingles")
     met = pairs.join(held.select(F.col("of").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("of").alias("b"), F.col("shingles").alias("y")), "b")
     with arrow_rows(pairs.sparkSession, 1000):
         verified, _ = cut(met.select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint"), "verified")
@@ -303,10 +320,9 @@ def similar_classes(rows: DataFrame, shingle: int = 5, least: float = 0.8) -> Da
     ratio = Fraction(str(least))
     reps, _ = cut(rows.groupBy("fp").agg(F.min("id").alias("low"), F.first("text").alias("text"), F.count("*").alias("copies")), "classes")
     classes = reps.select("fp", "low", "copies")
-    found, found_path = cut(prefixes(reps, shingle, ratio, hot_shingles(reps, shingle)), "prefixes")
-    shared = found.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    places, _ = cut(found.join(shared, "token"), "places")
-    drop_path(spark, found_path)
+    hot = hot_shingles(reps, shingle)
+    with arrow_rows(spark, TEXTS):
+        places, _ = cut(shared_prefixes(prefixes(reps, shingle, ratio, hot)), "places")
 
     # sizes within the ratio; and what is left of both from the first shared shingle on can be enough
     num, den = ratio.numerator, ratio.denominator
