@@ -130,7 +130,7 @@ def nearest(vectors: DataFrame, queries: str, k: int = K, id_col: str = "vec_id"
                 yield pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
         blocks = own.where(queries).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(max(1, -(-asked // block_rows)))))
-        indexes = build(own.select("shard", "id", "code"), ["id", "code"], make, "indexes")
+        indexes = build(own.select("shard", "id", "code"), ["id", "code"], make, shards, "indexes")
         part = meet(indexes, blocks_of(blocks.select("block", "id", "code"), ["id", "code"], "block"), ["id", "code"], gathered, "query_id bigint, id bigint, distance int", shards, "nearest")
         found = part if found is None else found.unionByName(part)
     if found is None:

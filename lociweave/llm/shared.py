@@ -40,14 +40,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def cut(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """df written to the shared folder and read back, so that a lost executor costs no recomputation; and its path.
+def cut(df: DataFrame, label: str, row_group: int | None = None) -> tuple[DataFrame, str]:
+    """df written to the shared folder and read back, so that a lost executor costs no recomputation; and its path. row_group: bytes, for rows that are themselves large.
 
     Nothing needs the shuffle files behind it any more; Spark deletes them once the driver has collected what refers to them.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", row_group) if row_group else df.write).parquet(path)
     spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path), path
 

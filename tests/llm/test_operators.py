@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from lociweave.llm import bpe, hnsw, mih, mixing, pii, quality, queries, secrets, shared, simhash, toxicity, warc  # noqa: E402
+from lociweave.llm import bpe, hnsw, mih, mixing, pii, quality, queries, secrets, sharded, shared, simhash, toxicity, warc  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 RNG = random.Random(5)
@@ -494,3 +494,25 @@ def test_fuzzy_terms_spare_clean_words(spark):
     rows = [(f"{a} moron {a}", 1) for a in around] + [(f"{a} maron {a} apple {a}", 0) for a in around] + [(f"{a} scumbag {a}", 1) for a in around]
     terms = toxicity.learn_terms(spark.createDataFrame(rows, "text string, label int"))
     assert terms["moron"] == (0, False) and terms["scumbag"] == (1, False)
+
+
+def test_large_near_copy_groups_take_bounded_memory(spark, monkeypatch):
+    """Beams of a group of near copies do not hold the group for all queries at once, and no row holds a whole shard."""
+    rng = np.random.default_rng(8)
+    one = rng.normal(size=16)
+    x = hnsw.unit(np.concatenate([one + 0.05 * rng.normal(size=(1800, 16)), rng.normal(size=(700, 16))]))
+    widest = []
+    search = hnsw.Graph.search
+    monkeypatch.setattr(hnsw.Graph, "search", lambda self, q, breadth, start=None: (widest.append(len(q) * breadth), search(self, q, breadth, start))[1])
+    monkeypatch.setattr(hnsw, "PAIRS", 1 << 15)
+    ids, copies = np.arange(10, 2510), np.full(2500, 2)
+    out = hnsw.links_of(hnsw.Graph(x), ids, copies, x, ids, x, 0.9, 40, 1.0, 256)
+    near = x @ x.T >= 0.9
+    assert out.counts.tolist() == (2 * (near.sum(axis=1) - 1)).tolist()
+    links = list(zip(*(ids[c].tolist() for c in np.nonzero(near)), strict=True))
+    firsts = dict(zip(*(c.tolist() for c in out.joined()), strict=True))
+    assert {i: firsts.get(i, i) for i in ids.tolist()} == brute.closure(ids.tolist(), links)
+    assert max(widest) <= 1 << 15
+    rows = spark.createDataFrame([(k % 2, k, x[k].tolist()) for k in range(2500)], "shard int, low long, v array<double>")
+    built = sharded.build(rows, ["low", "v"], lambda c: bytes(900_000), 2, "pieces").groupBy("shard").agg(F.max(F.length("blob")), F.sum(F.length("blob")))
+    assert all(r[1] <= sharded.PIECE and r[2] > 900_000 for r in built.collect())
