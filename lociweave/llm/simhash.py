@@ -9,8 +9,9 @@ is compared whole by numpy exclusive-or and bit counts, and answers with a spann
 Work on tile pairs grows with the square of the number of distinct fingerprints, at the share of cell pairs in reach
 (below 2 % of pairs at radius 2); no link is lost to a cap.
 
-For similarity rather than a given radius, similar_groups() uses no fingerprints: texts that share a shingle of their prefixes
-are compared on whole shingle sets, which misses no pair of the wanted similarity.
+For similarity rather than a given radius, similar_groups() proposes the pairs that fingerprints link and checks each on whole
+shingle sets; pairs of the wanted similarity whose fingerprints are farther apart are then found by shared shingles of their
+prefixes and checked alike, so that none is missed.
 
 Defined cases: null texts count as empty; texts without words have fingerprint zero and link like any other; texts of fewer
 words than a shingle are one shingle; ties of a bit (exactly half) give 0; repeated rows keep one output row each; an empty
@@ -36,6 +37,7 @@ SEED = 42
 ORDER_SAMPLE = 8000
 HOT_SHINGLES = 100_000
 HUB_TURNS = 2
+PROPOSED_BITS = 3  # fingerprints of near copies that similar_groups() proposes first
 TEXTS = 1000  # in an Arrow batch
 
 
@@ -286,6 +288,19 @@ def similar_pairs(pairs: DataFrame, reps: DataFrame, shingle: int, least: Fracti
     return verified
 
 
+def fingerprint_pairs(reps: DataFrame, shingle: int, radius: int = PROPOSED_BITS) -> DataFrame:
+    """(a, b): pairs of texts (fp names one, text) that join all whose fingerprints links within the radius join."""
+    with arrow_rows(reps.sparkSession, TEXTS):
+        prints, _ = cut(fingerprints(reps, "fp", "text", shingle), "fingerprints")
+    heads, _ = cut(prints.groupBy("fp").agg(F.min("id").alias("head"), F.min("size").alias("size"), F.count("*").alias("copies")), "heads")
+    links = link_classes(heads.select("fp", "size"), radius).select("a", "b")
+    of_a, of_b = (heads.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}")) for c in "ab")
+    between = links.join(of_a, "a").join(of_b, "b").select("head_a", "head_b")
+    same = split_join(prints.select("id", "fp"), heads.select("fp", "head", "copies"), "fp", "copies", ["id"]).where("id <> head").select("id", "head")
+    both = between.union(same)
+    return both.select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b")).distinct()
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """(id, fp, component): component is the smallest id that links of texts sharing at least `least` of their different shingles
     reach, the row's own included; fp names the class of rows with the same text."""
@@ -311,18 +326,20 @@ def classed_as(text: Column) -> Column:
 def similar_classes(rows: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """Of rows (id, text, fp): (fp, copies, component, first) for each text: its rows, the smallest id of its group, and the text with that id.
 
-    Every pair of that similarity is either compared on whole shingle sets or already joined by others that were: two such sets
-    share a shingle of their prefixes, at places that leave room for what they share. First each text is compared with one
-    other for each of its prefix's shingles, which joins most of large groups; then all pairs that sharing leaves apart.
-    Texts without words are one class.
+    Pairs that fingerprints link are compared first. Then every pair of that similarity is either compared on whole shingle sets or
+    already joined by others that were: two such sets share a shingle of their prefixes, at places that leave room for what they
+    share. First each text is compared with one other for each of its prefix's shingles, which joins most of large groups; then all
+    pairs that sharing leaves apart. Texts without words are one class.
     """
     spark = rows.sparkSession
     ratio = Fraction(str(least))
-    reps, _ = cut(rows.groupBy("fp").agg(F.min("id").alias("low"), F.first("text").alias("text"), F.count("*").alias("copies")), "classes")
+    reps, reps_path = cut(rows.groupBy("fp").agg(F.min("id").alias("low"), F.first("text").alias("text"), F.count("*").alias("copies")), "classes")
     classes = reps.select("fp", "low", "copies")
+    tried, _ = cut(fingerprint_pairs(reps.select("fp", "text"), shingle), "proposals")
+    links = similar_pairs(tried, reps, shingle, ratio)
     hot = hot_shingles(reps, shingle)
     with arrow_rows(spark, TEXTS):
-        places, _ = cut(shared_prefixes(prefixes(reps, shingle, ratio, hot)), "places")
+        places, places_path = cut(shared_prefixes(prefixes(reps, shingle, ratio, hot)), "places")
 
     # sizes within the ratio; and what is left of both from the first shared shingle on can be enough
     num, den = ratio.numerator, ratio.denominator
@@ -337,13 +354,9 @@ def similar_classes(rows: DataFrame, shingle: int = 5, least: float = 0.8) -> Da
     a = [F.col(c).alias(f"a_{c}") for c in ("fp", "size", "at", "part")]
     b = [F.col(c).alias(f"b_{c}") for c in ("fp", "size", "at", "part")]
     both = [F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b")]
-    links, tried, parts = None, None, None
     for turn in range(HUB_TURNS + 1):
-        if links is None:
-            now = places.withColumn("part", F.col("fp"))
-        else:
-            parts, _ = cut(components(links), "parts")
-            now = places.join(parts.select(F.col("id").alias("fp"), F.col("component").alias("part")), "fp", "left").withColumn("part", F.coalesce("part", "fp"))
+        parts, _ = cut(components(links), "parts")
+        now = places.join(parts.select(F.col("id").alias("fp"), F.col("component").alias("part")), "fp", "left").withColumn("part", F.coalesce("part", "fp"))
         apart = now.groupBy("token").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("token")
         now, path = cut(now.join(apart, "token"), "apart")
         if turn < HUB_TURNS:
@@ -354,13 +367,14 @@ def similar_classes(rows: DataFrame, shingle: int = 5, least: float = 0.8) -> Da
             met = now.select("token", *a).join(now.select("token", *b), "token").where((F.col("a_part") < F.col("b_part")) & sizes_fit)
             counted = met.groupBy("a_fp", "b_fp", "a_size", "b_size").agg(F.count("*").alias("n"), F.max("a_at").alias("a_last"), F.max("b_at").alias("b_last"))
             pairs = counted.where(most * (num + den) >= enough).select(*both)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs, _ = cut(pairs, "proposals")
+        pairs, _ = cut(pairs.join(tried, ["a", "b"], "left_anti"), "proposals")
         drop_path(spark, path)
         good = similar_pairs(pairs, reps, shingle, ratio)
-        links, tried = (good, pairs) if links is None else (links.unionByName(good), tried.unionByName(pairs))
-    return cut(joined_classes(classes, links).select("fp", "copies", "component", "first"), "joined")[0]
+        links, tried = links.unionByName(good), tried.unionByName(pairs)
+    joined, _ = cut(joined_classes(classes, links).select("fp", "copies", "component", "first"), "joined")
+    drop_path(spark, reps_path)
+    drop_path(spark, places_path)
+    return joined
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:

@@ -119,3 +119,17 @@ def test_near_copies_as_brute_force(spark):
     sets = {i: set(simhash.shingle_set(t, 5).tolist()) for i, t in texts.items()}
     roots = brute.closure(list(sets), [(a, b) for a in sets for b in sets if a < b and (not sets[a] and not sets[b] or sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))])
     assert {r["doc_id"] for r in simhash.one_of_each(docs).collect()} == set(roots.values())
+
+
+def test_near_copies_are_proposed_by_fingerprints(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{k}" for k in range(300)) + f" end{i}") for i in range(30)] + [(100 + i, " ".join(f"v{i}x{k}" for k in range(50))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    reps = docs.select(F.col("doc_id").alias("fp"), "text")
+    bits = {i: simhash.fingerprint(t, 5) for i, t in rows}
+    want = brute.closure(list(bits), [(a, b) for a in bits for b in bits if a < b and (bits[a] ^ bits[b]).bit_count() <= simhash.PROPOSED_BITS])
+    pairs = [(r["a"], r["b"]) for r in simhash.fingerprint_pairs(reps, 5).collect()]
+    assert brute.closure(list(bits), pairs) == want and len(set(want.values())) < 50
+    checked, similar_pairs = [], simhash.similar_pairs
+    monkeypatch.setattr(simhash, "similar_pairs", lambda pairs, *rest: (checked.append(pairs.count()), similar_pairs(pairs, *rest))[1])
+    assert {r["doc_id"] for r in simhash.one_of_each(docs).collect()} == {0, *range(100, 120)}
+    assert checked[0] >= len(pairs) > 0 and checked[-1] == 0
