@@ -7,12 +7,15 @@ the document's id and text and the weight its quality weight, until the running
 document that crosses it is taken in part, so that a source's words meet its target to the word.
 
 Running sums are made in two steps, so that no source lands in one task: keys are cut into buckets of about BUCKET_ROWS
-documents by the distribution that the keys would have at the source's mean weight; sums over buckets are small tables.
+documents by the distribution that the keys would have at the source's mean weight; sums over buckets are small tables. Only
+the bucket in which a source's target is met is sorted, and gives the key at which it is met: documents with smaller keys
+are taken whole, those with larger ones not at all, so that texts and other columns are never shuffled.
 The table of sources, one row each, goes to the driver for the resharing; sources are few (corpora, not hosts).
 
 Defined cases: null texts have size 0; a null source is a source of its own, last in order; sources of size 0 get target 0;
 documents of size 0 are never taken; documents that share an id have keys of their own, as u hashes the text too; rows that repeat
-id and text have equal keys and are drawn in any order, as they are equal; an empty table gives an empty result.
+id and text have equal keys and are drawn in any order, as they are equal, and only those at which a target is met are numbered; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -85,17 +88,34 @@ def mix(docs: DataFrame, weight_of: Callable[[int], float] = lambda i: 1.0 + i %
     sources = spark.createDataFrame(plan, "source string, source_size long, target double, epochs long, rest long, mean double, buckets int")
 
     bucket = F.least(F.floor((1 - F.exp(-F.col("key") * F.col("mean"))) * F.col("buckets")).cast("int"), F.col("buckets") - 1)
-    few = F.broadcast(sources) if len(plan) <= MOST_BROADCAST else sources
-    drawn = slim.join(few, slim["source"].eqNullSafe(sources["source"])).drop(sources["source"]).withColumn("bucket", bucket)
+
+    def small(table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if len(plan) <= MOST_BROADCAST else table
+
+    drawn = slim.join(small(sources), slim["source"].eqNullSafe(sources["source"])).drop(sources["source"]).withColumn("bucket", bucket)
     # what the buckets before hold; a row for each bucket, and windows over these rows alone
-    sums = drawn.groupBy("source", "bucket").agg(F.sum("size").alias("held"))
+    sums = drawn.groupBy("source", "bucket").agg(F.sum("size").alias("held"), F.first("rest").alias("rest"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("held").over(before), F.lit(0))).select(F.col("source").alias("of"), F.col("bucket").alias("in"), "before")
-    within = Window.partitionBy("source", "bucket").orderBy("key", "id", "hash").rowsBetween(Window.unboundedPreceding, -1)
-    drawn = drawn.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    drawn = drawn.join(sums, drawn["source"].eqNullSafe(sums["of"]) & (drawn["bucket"] == sums["in"]))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.col("inside")))
-    return drawn.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), *[F.col(f"keep_{c}").alias(c) for c in keep or []])
+    sums = sums.withColumn("before", F.coalesce(F.sum("held").over(before), F.lit(0))).where("before < rest AND before + held >= rest")
+    met = sums.select(F.col("source").alias("of"), F.col("bucket").alias("in"), "before")
+    # the place in that bucket at which the target is met, and what is then open; equal documents have one place
+    within = drawn.join(small(met), drawn["source"].eqNullSafe(met["of"]) & (drawn["bucket"] == met["in"]))
+    places = within.groupBy("of", "key", "id", "hash").agg(F.sum("size").alias("held"), F.count("*").alias("copies"), F.first("rest").alias("rest"), F.first("before").alias("before"))
+    sofar = Window.partitionBy("of").orderBy("key", "id", "hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    places = places.withColumn("upto", F.col("before") + F.sum("held").over(sofar)).where("upto >= rest AND upto - held < rest")
+    ends, _ = cut(places.select("of", F.struct("key", "id", "hash").alias("end"), (F.col("rest") - F.col("upto") + F.col("held")).alias("open"), "copies"), "ends")
+
+    # structs compare field by field, nulls first, as the window orders them
+    drawn = drawn.join(small(ends), drawn["source"].eqNullSafe(ends["of"]), "left").withColumn("place", F.struct("key", "id", "hash"))
+    tied = F.coalesce((F.col("place") == F.col("end")) & (F.col("copies") > 1), F.lit(False))
+    part = F.when(F.col("place") < F.col("end"), F.col("size")).when(F.col("place") == F.col("end"), F.col("open")).otherwise(F.lit(0))
+    if ends.where("copies > 1").isEmpty():
+        drawn = drawn.withColumn("part", part)
+    else:
+        nth = F.row_number().over(Window.partitionBy("source").orderBy("place"))
+        equal = drawn.where(tied).withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("open") - (nth - 1) * F.col("size"))))
+        drawn = drawn.where(~tied).withColumn("part", part).unionByName(equal)
+    return drawn.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"), *[F.col(f"keep_{c}").alias(c) for c in keep or []])
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

@@ -133,3 +133,19 @@ def test_near_copies_are_proposed_by_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(simhash, "similar_pairs", lambda pairs, *rest: (checked.append(pairs.count()), similar_pairs(pairs, *rest))[1])
     assert {r["doc_id"] for r in simhash.one_of_each(docs).collect()} == {0, *range(100, 120)}
     assert checked[0] >= len(pairs) > 0 and checked[-1] == 0
+
+
+def test_mixing_shuffles_no_texts(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " * (1 + i % 7), "ab"[i % 2]) for i in range(200)] + [(900, "same words here", "c")] * 60 + [(901, "other words here too", "a")] * 40, "doc_id long, text string, source string").repartition(3)
+    plan = mixing.mixed(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "keep_" in plan and not [x for x in plan.split("\n") if "Exchange hashpartitioning" in x or "Exchange rangepartitioning" in x]
+    size = {r["doc_id"]: len(r["text"].split()) for r in docs.collect()}
+    got = mixing.mix(docs, lambda i: [3.0, 1.0, 0.2][i]).collect()
+    taken, targets, held = collections.Counter(), {}, collections.Counter()
+    for r in got:
+        s = "c" if r["doc_id"] == 900 else "a" if r["doc_id"] == 901 else "ab"[r["doc_id"] % 2]
+        taken[s] += r["taken"]
+        targets[s] = r["target"]
+        held[s, r["taken"] % r["size"] > 0] += 1
+        assert r["size"] == size[r["doc_id"]] and r["taken"] <= 3 * r["size"]
+    assert len(got) == 300 and all(taken[s] == round(targets[s]) for s in targets) and all(held[s, True] <= 1 for s in targets)
