@@ -11,7 +11,9 @@ Work on tile pairs grows with the square of the number of distinct fingerprints,
 
 For similarity rather than a given radius, similar_groups() proposes the pairs that fingerprints link and checks each on whole
 shingle sets; pairs of the wanted similarity whose fingerprints are farther apart are then found by shared shingles of their
-prefixes and checked alike, so that none is missed.
+prefixes and checked alike, so that none is missed. The texts that share such a shingle are compared in tiles by numpy, on
+parity sketches of their sets that can only understate how many shingles two sets do not share: what a sketch rules out is
+below the similarity, and only pairs that it leaves become rows.
 
 Defined cases: null texts count as empty; texts without words have fingerprint zero and link like any other; texts of fewer
 words than a shingle are one shingle; ties of a bit (exactly half) give 0; repeated rows keep one output row each; an empty
@@ -29,14 +31,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import arrow_rows, components, cut, drop_path, likely_among, spanning_forest, split_join
+from .shared import SHARES, arrow_rows, components, cut, drop_path, likely_among, spanning_forest, split_join
 
 TILE = 4096
 SEED = 42
-# similar_groups(): texts sampled to order shingles and shingles known as common, which no result depends on; turns of hubs
+# similar_groups(): texts sampled to order shingles and shingles known as common, turns of forests, a sketch's bits, rows of a tile and
+# pairs looked at together; no result depends on them
 ORDER_SAMPLE = 8000
 HOT_SHINGLES = 100_000
-HUB_TURNS = 2
+FOREST_TURNS = 2
+SKETCH_BITS = 4096
+LEAST_TILE = 256
+STEP = 1 << 16
 PROPOSED_BITS = 3  # fingerprints of near copies that similar_groups() proposes first
 TEXTS = 1000  # in an Arrow batch
 
@@ -87,14 +93,33 @@ def unpacked_set(data) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, sizes: bool = False) -> DataFrame:
-    """(id, fp, size): fp is the fingerprint as a signed long, size the number of different shingles, 0 unless asked for."""
+def sketch(shingles: np.ndarray) -> bytes:
+    """Of a set's hashes, at each place the parity of those that fall there. Two sets' sketches differ at no more places than there are
+    shingles that only one of them has. Places are a power of 2, four for a shingle and SKETCH_BITS at most."""
+    places = min(SKETCH_BITS, max(64, 1 << (4 * len(shingles) - 1).bit_length()))
+    counts = np.bincount((shingles & np.uint64(places - 1)).astype(np.int64), minlength=places)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketched(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, fp, size, sketch): the fingerprint as a signed long, the number of different shingles and their sketch()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], dtype=np.uint64).view(np.int64)
+            sets = [(len(x), sketch(x)) for x in (shingle_set(t.as_py(), shingle) for t in batch.column(1))]
+            yield pa.record_batch([batch.column(0), pa.array(fp), pa.array([x[0] for x in sets], pa.int32()), pa.array([x[1] for x in sets], pa.binary())], names=["id", "fp", "size", "sketch"])
+
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, fp bigint, size int, sketch binary")
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """(id, fp, size): fp is the fingerprint as a signed long, size is 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], dtype=np.uint64).view(np.int64)
-            size = [len(shingle_set(x.as_py(), shingle)) if sizes else 0 for x in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(fp), pa.array(size, pa.int32())], names=["id", "fp", "size"])
+            yield pa.record_batch([batch.column(0), pa.array(fp), pa.array(np.zeros(len(fp), np.int32))], names=["id", "fp", "size"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, fp bigint, size int")
 
@@ -257,6 +282,109 @@ def shared_prefixes(found: DataFrame) -> DataFrame:
     return met.where("alone > 0 OR before IS NOT NULL OR after IS NOT NULL").select("token", "fp", "size", "at")
 
 
+def differing(flat: np.ndarray, starts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """At how many places the sketches of pairs differ. starts and words, of two rows each, say where in flat the sketches are and how
+    long; of unlike lengths, which sizes within the ratio have by a factor of 2 at most, the longer is folded."""
+    out, least = np.zeros(words.shape[1], np.int64), words.min(axis=0)
+    for w in np.unique(least).tolist():
+        at = np.flatnonzero(least == w)
+        step = max(1, (1 << 19) // w)
+        for low in range(0, len(at), step):
+            some = at[low : low + step]
+            x = np.zeros((len(some), w), np.uint64)
+            for begins, long in zip(starts[:, some], words[:, some], strict=True):
+                x ^= flat[begins[:, None] + np.arange(w)]
+                for k in range(1, int(long.max()) // w):
+                    more = np.flatnonzero(long > k * w)
+                    x[more] ^= flat[begins[more, None] + k * w + np.arange(w)]
+            out[some] = np.bitwise_count(x).sum(axis=1)
+    return out
+
+
+def candidates(rows: pa.Table, least: Fraction, forest: bool) -> Iterator[pa.RecordBatch]:
+    """(a, b): texts that meet in a group of tiled(), are in different parts and may be as similar as `least` by their sizes, by what is
+    left of both from the shared shingle on, and by their sketches. rows has whole groups, sorted by group, side and size.
+
+    With `forest` only as many pairs as join all parts that those pairs would join, of each step those with the most alike sketches.
+    """
+    num, den = least.numerator, least.denominator
+    token, tile, crossed, side, fp, size, at, part = (rows.column(c).to_numpy().astype(np.int64) for c in range(8))
+    data = pa.concat_arrays(rows.column(8).chunks)
+    ends = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
+    flat = np.frombuffer(data.buffers()[2], np.uint8)[ends[0] : ends[-1]].copy().view(np.uint64)
+    starts = (ends - ends[0]) // 8
+    group = np.cumsum(np.concatenate([[0], (np.diff(token) != 0) | (np.diff(tile) != 0)]))
+    # each row looks at the rows after it, or at the other side, whose sizes are within the ratio
+    key, other = group * 2 + side << 32 | size, group * 2 + crossed << 32
+    first = np.where(crossed, np.searchsorted(key, other | -(-size * num // den)), np.arange(len(size)) + 1)
+    counts = np.where(crossed & side, 0, np.maximum(0, np.searchsorted(key, other | size * den // num, side="right") - first))
+    of = np.unique(part, return_inverse=True)[1]
+    root = np.arange(len(size))
+    till, low = np.cumsum(counts), 0
+    while low < len(counts):
+        high = max(low + 1, int(np.searchsorted(till, (till[low - 1] if low else 0) + STEP, side="right")))
+        n = counts[low:high]
+        i = np.repeat(np.arange(low, high), n)
+        j = np.repeat(first[low:high] - np.cumsum(n) + n, n) + np.arange(len(i))
+        low = high
+        both = size[i] + size[j]
+        fit = (root[of[i]] != root[of[j]]) & (np.minimum(size[i] - at[i], size[j] - at[j]) * (num + den) >= both * num)
+        i, j, both = i[fit], j[fit], both[fit]
+        far = differing(flat, np.stack([starts[i], starts[j]]), np.stack([np.diff(starts)[i], np.diff(starts)[j]]))
+        near = np.flatnonzero(far * (num + den) <= both * (den - num))
+        if forest:
+            near = near[np.argsort(far[near] / both[near], kind="stable")]
+            u, v = root[of[i[near]]], root[of[j[near]]]
+            pairs = spanning_forest(u, v)
+            place = {}
+            for k, x in enumerate(zip(u.tolist(), v.tolist(), strict=True)):
+                place.setdefault(x, k)
+            near = near[[place[x] for x in pairs]]
+            to = np.arange(len(root))
+            for x, y in parts([(x, y, True) for x, y in pairs]).items():
+                to[x] = y
+            root = to[root]
+        if len(near):
+            a, b = fp[i[near]], fp[j[near]]
+            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def tiled(rows: DataFrame) -> DataFrame:
+    """rows (token, n, the number of its rows, and the rest) in groups (token, tile) of bounded size: a token of many rows is dealt into
+    tiles, any two of which are a group whose sides meet (crossed), and each by itself one of one side."""
+    most = min(TILE, max(LEAST_TILE, rows.count() // SHARES))
+    k = F.ceil(F.col("n") / most).cast("bigint")
+    own = F.pmod(F.xxhash64("fp"), k)
+    few = rows.where(k <= 1).withColumns({"tile": F.lit(0).cast("bigint"), "crossed": F.lit(False), "side": F.lit(False)})
+    many = rows.where(k > 1).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), k - 1)))
+    many = many.withColumns({"tile": F.least("own", "other") * k + F.greatest("own", "other"), "crossed": F.col("own") != F.col("other"), "side": F.col("own") > F.col("other")})
+    return few.unionByName(many.drop("own", "other"))
+
+
+def sharing_pairs(now: DataFrame, prints: DataFrame, least: Fraction, forest: bool) -> DataFrame:
+    """candidates() of now (token, fp, size, at, part, n), with the sketches of prints (id, sketch)."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            new = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, new]) if held else new
+            if not held.num_rows:
+                continue
+            # the last group may go on in the next batch
+            token, tile = held.column(0).to_numpy(), held.column(1).to_numpy()
+            whole = int(np.argmax((token == token[-1]) & (tile == tile[-1])))
+            if whole:
+                yield from candidates(held.slice(0, whole), least, forest)
+                held = held.slice(whole)
+        if held:
+            yield from candidates(held, least, forest)
+
+    rows = tiled(now.join(prints.select(F.col("id").alias("fp"), "sketch"), "fp"))
+    met = rows.repartition("token", "tile").sortWithinPartitions("token", "tile", "side", "size")
+    return met.select("token", "tile", "crossed", "side", "fp", "size", "at", "part", "sketch").mapInArrow(compare, "a bigint, b bigint").distinct()
+
+
 def similar_pairs(pairs: DataFrame, reps: DataFrame, shingle: int, least: Fraction) -> DataFrame:
     """Of pairs (a, b) of classes those whose whole shingle sets are as similar."""
 
@@ -288,10 +416,11 @@ def similar_pairs(pairs: DataFrame, reps: DataFrame, shingle: int, least: Fracti
     return verified
 
 
-def fingerprint_pairs(reps: DataFrame, shingle: int, radius: int = PROPOSED_BITS) -> DataFrame:
-    """(a, b): pairs of texts (fp names one, text) that join all whose fingerprints links within the radius join."""
-    with arrow_rows(reps.sparkSession, TEXTS):
-        prints, _ = cut(fingerprints(reps, "fp", "text", shingle), "fingerprints")
+def fingerprint_pairs(reps: DataFrame, shingle: int, radius: int = PROPOSED_BITS, prints: DataFrame | None = None) -> DataFrame:
+    """(a, b): pairs of texts (fp names one, text) that join all whose fingerprints links within the radius join. prints: their sketched()."""
+    if prints is None:
+        with arrow_rows(reps.sparkSession, TEXTS):
+            prints, _ = cut(sketched(reps, "fp", "text", shingle), "fingerprints")
     heads, _ = cut(prints.groupBy("fp").agg(F.min("id").alias("head"), F.min("size").alias("size"), F.count("*").alias("copies")), "heads")
     links = link_classes(heads.select("fp", "size"), radius).select("a", "b")
     of_a, of_b = (heads.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}")) for c in "ab")
@@ -327,46 +456,28 @@ def similar_classes(rows: DataFrame, shingle: int = 5, least: float = 0.8) -> Da
     """Of rows (id, text, fp): (fp, copies, component, first) for each text: its rows, the smallest id of its group, and the text with that id.
 
     Pairs that fingerprints link are compared first. Then every pair of that similarity is either compared on whole shingle sets or
-    already joined by others that were: two such sets share a shingle of their prefixes, at places that leave room for what they
-    share. First each text is compared with one other for each of its prefix's shingles, which joins most of large groups; then all
-    pairs that sharing leaves apart. Texts without words are one class.
+    already joined by others that were, or ruled out by sketches: two such sets share a shingle of their prefixes, at places that leave
+    room for what they share. First of the pairs that sketches allow so many are compared as would join all, which joins most of large
+    groups; then all that these leave apart. Texts without words are one class.
     """
     spark = rows.sparkSession
     ratio = Fraction(str(least))
     reps, reps_path = cut(rows.groupBy("fp").agg(F.min("id").alias("low"), F.first("text").alias("text"), F.count("*").alias("copies")), "classes")
     classes = reps.select("fp", "low", "copies")
-    tried, _ = cut(fingerprint_pairs(reps.select("fp", "text"), shingle), "proposals")
+    with arrow_rows(spark, TEXTS):
+        prints, prints_path = cut(sketched(reps, "fp", "text", shingle), "fingerprints")
+    tried, _ = cut(fingerprint_pairs(reps.select("fp", "text"), shingle, prints=prints), "proposals")
     links = similar_pairs(tried, reps, shingle, ratio)
     hot = hot_shingles(reps, shingle)
     with arrow_rows(spark, TEXTS):
         places, places_path = cut(shared_prefixes(prefixes(reps, shingle, ratio, hot)), "places")
 
-    # sizes within the ratio; and what is left of both from the first shared shingle on can be enough
-    num, den = ratio.numerator, ratio.denominator
-    sizes_fit = F.least("a_size", "b_size") * den >= F.greatest("a_size", "b_size") * num
-    enough = (F.col("a_size") + F.col("b_size")).cast("bigint") * num
-    room = F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at")).cast("bigint")
-    # where all that two prefixes share is counted: no more can follow than comes after its last, nor after the end of the prefix that
-    # ends first, of which the longer rest is taken
-    after_last = F.least(F.col("a_size") - F.col("a_last"), F.col("b_size") - F.col("b_last")) - 1
-    after_prefix = F.ceil(F.greatest("a_size", "b_size") * num / den) - 1
-    most = F.col("n") + F.least(after_last.cast("bigint"), after_prefix.cast("bigint"))
-    a = [F.col(c).alias(f"a_{c}") for c in ("fp", "size", "at", "part")]
-    b = [F.col(c).alias(f"b_{c}") for c in ("fp", "size", "at", "part")]
-    both = [F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b")]
-    for turn in range(HUB_TURNS + 1):
+    for turn in range(FOREST_TURNS + 1):
         parts, _ = cut(components(links), "parts")
         now = places.join(parts.select(F.col("id").alias("fp"), F.col("component").alias("part")), "fp", "left").withColumn("part", F.coalesce("part", "fp"))
-        apart = now.groupBy("token").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("token")
+        apart = now.groupBy("token").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count("*").alias("n")).where("least < most").select("token", "n")
         now, path = cut(now.join(apart, "token"), "apart")
-        if turn < HUB_TURNS:
-            hubs = now.groupBy("token").agg(F.min_by(F.struct("fp", "size", "at", "part"), F.xxhash64("fp", F.lit(turn))).alias("hub")).select("token", F.col("hub.fp").alias("b_fp"), F.col("hub.size").alias("b_size"), F.col("hub.at").alias("b_at"), F.col("hub.part").alias("b_part"))
-            met = now.select("token", *a).join(hubs, "token").where((F.col("a_part") != F.col("b_part")) & sizes_fit)
-            pairs = met.where(room * (num + den) >= enough).select(*both).distinct()
-        else:
-            met = now.select("token", *a).join(now.select("token", *b), "token").where((F.col("a_part") < F.col("b_part")) & sizes_fit)
-            counted = met.groupBy("a_fp", "b_fp", "a_size", "b_size").agg(F.count("*").alias("n"), F.max("a_at").alias("a_last"), F.max("b_at").alias("b_last"))
-            pairs = counted.where(most * (num + den) >= enough).select(*both)
+        pairs = sharing_pairs(now, prints, ratio, turn < FOREST_TURNS)
         pairs, _ = cut(pairs.join(tried, ["a", "b"], "left_anti"), "proposals")
         drop_path(spark, path)
         good = similar_pairs(pairs, reps, shingle, ratio)
@@ -374,6 +485,7 @@ def similar_classes(rows: DataFrame, shingle: int = 5, least: float = 0.8) -> Da
     joined, _ = cut(joined_classes(classes, links).select("fp", "copies", "component", "first"), "joined")
     drop_path(spark, reps_path)
     drop_path(spark, places_path)
+    drop_path(spark, prints_path)
     return joined
 
 

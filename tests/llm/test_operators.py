@@ -516,3 +516,33 @@ def test_large_near_copy_groups_take_bounded_memory(spark, monkeypatch):
     rows = spark.createDataFrame([(k % 2, k, x[k].tolist()) for k in range(2500)], "shard int, low long, v array<double>")
     built = sharded.build(rows, ["low", "v"], lambda c: bytes(900_000), 2, "pieces").groupBy("shard").agg(F.max(F.length("blob")), F.sum(F.length("blob")))
     assert all(r[1] <= sharded.PIECE and r[2] > 900_000 for r in built.collect())
+
+
+def test_near_copies_of_large_groups_make_few_pairs(spark, monkeypatch):
+    """Texts that share most shingles but stay below the similarity are ruled out by sketches, not by a row for each pair and shingle."""
+    monkeypatch.setattr(simhash, "LEAST_TILE", 32, raising=False)
+    rng, texts, proposed = random.Random(14), {}, []
+    base = words_of(rng, 300)
+    for k in range(300):
+        copy = list(base)
+        for at in rng.sample(range(300), 4 if k % 3 else 12):
+            copy[at] = words_of(rng, 1)[0]
+        texts[k] = " ".join(copy)
+    for k in range(60):
+        texts[1000 + k] = " ".join(words_of(rng, 6 + k % 5) + base[: 2 * k])
+    similar_pairs = simhash.similar_pairs
+    monkeypatch.setattr(simhash, "similar_pairs", lambda pairs, *rest: (proposed.append(pairs.count()), similar_pairs(pairs, *rest))[1])
+    want = jaccard_roots(texts)
+    assert similar(spark, texts) == want and 100 < len(set(want.values())) < 320
+    assert sum(proposed[1:]) < 1000
+
+
+def test_sketches_understate_differences():
+    rng = np.random.default_rng(3)
+    for n in (1, 9, 40, 300, 1500, 9000):
+        one = rng.integers(0, 1 << 63, size=n).astype(np.uint64)
+        other = np.concatenate([one[n // 10 :], rng.integers(0, 1 << 63, size=n // 8 + 1).astype(np.uint64)])
+        data = [np.frombuffer(simhash.sketch(x), np.uint64) for x in (one, other)]
+        words = np.array([[len(x)] for x in data])
+        far = simhash.differing(np.concatenate(data), np.array([[0], [len(data[0])]]), words)[0]
+        assert len(np.setxor1d(one, other)) / 3 < far <= len(np.setxor1d(one, other)) if n < 4000 else far <= len(np.setxor1d(one, other))
