@@ -23,8 +23,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
-from collections import Counter
-from collections.abc import Iterator
+import re
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,37 @@ def perfect_hash(pairs: dict[tuple[int, int], int]) -> tuple[int, np.ndarray]:
     return buckets, np.array(shift + slot, dtype=np.int64)
 
 
+def plain_pattern(pattern: str) -> str | None:
+    """The pattern with each property as the ranges of its code points below 0x10000, for Python's own matcher, which knows no properties
+    and is twice as fast; None if it cannot be written so."""
+    import regex
+
+    every = "".join(map(chr, itertools.chain(range(0xD800), range(0xE000, 0x10000))))
+    out, inside = [], False
+    for part in re.findall(r"\\[pP]\{\w+\}|\\.|.", pattern, re.DOTALL):
+        if part[:2] in (r"\p", r"\P"):
+            ranges = "".join(f"\\u{ord(m[0][0]):04x}-\\u{ord(m[0][-1]):04x}" for m in regex.finditer(part.lower()[:3] + part[3:] + "+", every))
+            if not ranges or inside and part[1] == "P":
+                return None
+            part = ranges if inside else f"[{'^' * (part[1] == 'P')}{ranges}]"
+        elif part[0] == "\\":
+            return None
+        inside = part == "[" or inside and part != "]"
+        out.append(part)
+    return "".join(out)
+
+
+def splitter(pattern: str, plain: str | None) -> Callable[[str], list[str]]:
+    """What splits a text into its words; plain: plain_pattern() of the pattern, for texts of code points below 0x10000."""
+    import regex
+
+    any_words = regex.compile(pattern).findall
+    if plain is None:
+        return any_words
+    words = re.compile(plain).findall
+    return lambda text: (words if text.isascii() or len(text.encode("utf-16-le")) == 2 * len(text) else any_words)(text)
+
+
 class Tokenizer:
     """The ranks of a vocabulary file and the expression that folds its merges."""
 
@@ -82,6 +114,7 @@ class Tokenizer:
         self.ranks = read_ranks(path)
         # white space by its Unicode property, whatever a matcher takes for it
         self.pattern = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
+        self.plain = plain_pattern(self.pattern)
         self.pieces = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for piece, rank in self.ranks.items():
             self.pieces[rank] = piece
@@ -154,7 +187,7 @@ class Tokenizer:
         """The ids of a word given as an entry for each byte: the rank of the pair it begins, its place, its id.
 
         An entry is rank * 2^(PLACES + WIDTH) + place * 2^WIDTH + id, so that the smallest entry begins the pair to merge,
-        the leftmost of the lowest rank.
+        the leftmost of the lowest rank. Places are those in the array and move up by one after a merge, so that none is searched.
         """
 
         def id_of(x: Column) -> Column:
@@ -169,12 +202,12 @@ class Tokenizer:
 
                 def renewed(e: Column, i: Column) -> Column:
                     before = self.merged(table, id_of(e), merged) * (1 << WIDTH + PLACES) + e.bitwiseAND((1 << WIDTH + PLACES) - 1)
-                    return F.when(i < j - 2, e).when(i > j, e).when(i == j - 1, here).when(i == j, F.lit(None)).otherwise(before)
+                    return F.when(i < j - 2, e).when(i > j, e - (1 << WIDTH)).when(i == j - 1, here).when(i == j, F.lit(None)).otherwise(before)
 
                 return F.filter(F.transform(acc, renewed), lambda e: e.isNotNull())
 
             low = F.array_min(acc)
-            found = F.struct(low.alias("low"), F.array_position(acc, low).cast("int").alias("j"))
+            found = F.struct(low.alias("low"), (F.shiftright(low, WIDTH).bitwiseAND((1 << PLACES) - 1) + 1).cast("int").alias("j"))
             return F.when(low < NO_PAIR, F.get(F.transform(F.array(found), merge), F.lit(0))).otherwise(acc)
 
         return F.transform(F.when(F.array_min(entries) >= NO_PAIR, entries).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(entries)), entries, step)), id_of)
@@ -206,15 +239,19 @@ def name_words(tokenizer: "Tokenizer", known, run_words: int):
 
     known: a broadcast of frequent_words(), whose words have codes already, in their order.
     """
-    pattern = tokenizer.pattern
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        words_in = regex.compile(pattern).findall
+        words_in = splitter(tokenizer.pattern, tokenizer.plain)
         schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("codes", pa.binary()), ("words", pa.list_(pa.list_(pa.int64())))])
         first = {w: i for i, w in enumerate(known_words(known.value))}
-        table, ids, lengths, codes, held = dict(first), [], [], [], 0
+
+        def codes_of() -> defaultdict[str, int]:
+            """The codes of the words known, which gives the next code to each other word that it is asked for."""
+            table: defaultdict[str, int] = defaultdict(None, first)
+            table.default_factory = table.__len__
+            return table
+
+        table, ids, lengths, codes, held = codes_of(), [], [], [], 0
 
         def block() -> pa.RecordBatch:
             new = entries_of(list(itertools.islice(table, len(first), None)), tokenizer)
@@ -224,14 +261,14 @@ def name_words(tokenizer: "Tokenizer", known, run_words: int):
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = words_in(text.as_py() or "")
-                own = np.fromiter([table.setdefault(w, len(table)) for w in words], dtype=np.int32, count=len(words))
+                own = np.fromiter(map(table.__getitem__, words), dtype=np.int32, count=len(words))
                 ids.append(i)
                 lengths.append(len(own))
                 codes.append(own)
                 held += len(own)
                 if held >= run_words:
                     yield block()
-                    table, ids, lengths, codes, held = dict(first), [], [], [], 0
+                    table, ids, lengths, codes, held = codes_of(), [], [], [], 0
         if ids:
             yield block()
 
@@ -244,19 +281,17 @@ def frequent_words(docs: DataFrame, tokenizer: "Tokenizer", text_col: str, sampl
     What is frequent saves work only: such words are folded once rather than in each run. The result does not depend on it.
     """
     n = docs.count()
-    pattern = tokenizer.pattern
+    pattern, plain = tokenizer.pattern, tokenizer.plain
     some = docs.select(F.col(text_col).alias("text")).where(F.length(text_col) < 1 << 20)
     some = some.sample(min(1.0, sample / n), seed=1) if n else some
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        words_in, counts = regex.compile(pattern).findall, Counter()
+        words_in, counts = splitter(pattern, plain), Counter()
         for batch in batches:
             for text in batch.column(0):
                 counts.update(words_in(text.as_py() or ""))
-        often = [(w, c) for w, c in counts.items() if c > 1]
-        yield pa.record_batch([pa.array([w for w, _ in often], pa.string()), pa.array([c for _, c in often], pa.int64())], names=["word", "n"])
+        # also what is once here: over all tasks it may be among the frequent
+        yield pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,7 +309,7 @@ def frequent_words(docs: DataFrame, tokenizer: "Tokenizer", text_col: str, sampl
                 stream.write_batch(known)
             yield pa.record_batch([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["known"])
 
-    top = some.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
+    top = some.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(words)
     # dealt out again, as a limit leaves one partition
     dealt = top.select("word").repartition(12).mapInArrow(entries, "words array<string>, entries array<array<bigint>>")
     return [bytes(r["known"]) for r in tokenizer.fold_words(dealt, "entries").mapInArrow(pack, "known binary").collect()]
@@ -331,8 +366,8 @@ def put_together(pieces: list[bytes], known, with_ids: bool, with_decoded: bool)
                 rows = []
                 for d in range(len(docs)):
                     ids = tokens[bounds[d] : bounds[d + 1]].tolist()
-                    decoded = b"".join([pieces[i] for i in ids])
-                    row = (docs[d], len(ids), hashlib.sha256(" ".join([shown[i] for i in ids]).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest())
+                    decoded = b"".join(map(pieces.__getitem__, ids))
+                    row = (docs[d], len(ids), hashlib.sha256(" ".join(map(shown.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest())
                     rows.append(row + (decoded.decode("utf-8", "replace"),) * with_decoded)
                 columns = [pa.array(c, fields[i][1]) for i, c in enumerate(zip(*[r[:4] for r in rows], strict=True))]
                 columns += [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(tokens, pa.int32()))] * with_ids

@@ -546,3 +546,21 @@ def test_sketches_understate_differences():
         words = np.array([[len(x)] for x in data])
         far = simhash.differing(np.concatenate(data), np.array([[0], [len(data[0])]]), words)[0]
         assert len(np.setxor1d(one, other)) / 3 < far <= len(np.setxor1d(one, other)) if n < 4000 else far <= len(np.setxor1d(one, other))
+
+
+def test_words_frequent_over_all_tasks_are_folded_ahead(spark, tokenizer):
+    docs = spark.createDataFrame([(i, f"spreadword own{'abcdefgh'[i]}x twice{'abcdefgh'[i]} twice{'abcdefgh'[i]}") for i in range(8)], "doc_id long, text string").repartitionByRange(8, "doc_id")
+    known = bpe.frequent_words(docs, tokenizer, "text", 100, 1000)
+    assert "spreadword" in bpe.known_words(known) and " ownax" not in bpe.known_words(known)
+
+
+def test_words_by_either_matcher(tokenizer):
+    import regex
+
+    rng = random.Random(5)
+    letters = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    text = "".join(x + rng.choice("aZ7 \n'.é\u3000") * rng.randrange(3) for x in rng.sample(letters, len(letters)))
+    assert tokenizer.plain and re.findall(tokenizer.plain, text) == regex.findall(tokenizer.pattern, text)
+    split = bpe.splitter(tokenizer.pattern, tokenizer.plain)
+    for t in (text, "it's 'llama 12  x\n\n y", "\U0001d400\U0001d401 letters \U0001f600!", ""):
+        assert split(t) == regex.findall(tokenizer.pattern, t) and "".join(split(t)) == t
