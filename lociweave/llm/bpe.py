@@ -243,18 +243,16 @@ def name_words(tokenizer: "Tokenizer", known, run_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_in = splitter(tokenizer.pattern, tokenizer.plain)
         schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("codes", pa.binary()), ("words", pa.list_(pa.list_(pa.int64())))])
-        first = {w: i for i, w in enumerate(known_words(known.value))}
-
-        def codes_of() -> defaultdict[str, int]:
-            """The codes of the words known, which gives the next code to each other word that it is asked for."""
-            table: defaultdict[str, int] = defaultdict(None, first)
-            table.default_factory = table.__len__
-            return table
-
-        table, ids, lengths, codes, held = codes_of(), [], [], [], 0
+        # the codes of words, those known first; it gives the next code to each other word that it is asked for
+        table: defaultdict[str, int] = defaultdict(None, {w: i for i, w in enumerate(known_words(known.value))})
+        table.default_factory = table.__len__
+        first, ids, lengths, codes, held = len(table), [], [], [], 0
 
         def block() -> pa.RecordBatch:
-            new = entries_of(list(itertools.islice(table, len(first), None)), tokenizer)
+            words = list(itertools.islice(table, first, None))
+            for w in words:  # rather than a copy of the known ones for each run
+                del table[w]
+            new = entries_of(words, tokenizer)
             whole = np.concatenate(codes).tobytes() if codes else b""
             return pa.record_batch([pa.array([ids], schema[0].type), pa.array([lengths], schema[1].type), pa.array([whole], schema[2].type), pa.ListArray.from_arrays(pa.array([0, len(new)], pa.int32()), new)], schema=schema)
 
@@ -268,7 +266,7 @@ def name_words(tokenizer: "Tokenizer", known, run_words: int):
                 held += len(own)
                 if held >= run_words:
                     yield block()
-                    table, ids, lengths, codes, held = codes_of(), [], [], [], 0
+                    ids, lengths, codes, held = [], [], [], 0
         if ids:
             yield block()
 
